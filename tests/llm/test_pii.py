@@ -1,0 +1,83 @@
+import hashlib
+import re
+
+import pytest
+
+from tesselon.llm.pii import fit, personal_data, redact
+
+PAT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def ok(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def brute(t):
+    return [(k, m.start(), m.end()) for k, p in PAT.items() for m in re.finditer(p, t or "") if ok(k, m[0])]
+
+
+TEXTS = [
+    "write a.b@c.d.e or x@y.z, not a@b; 🙂 é q_w@r.s.",
+    "a@b.c_d@e.f x@y.z@q.r a@@b.c",
+    "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255 1.2.3 999999999999999999999.1.1.1",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111, 1234567890123",
+    "call +1 (620) 555-8424 or +49 30 1234567 or +1 2, +999999999999999999, +1((((((",
+    'api token = "4efe2d42c16b845d5c2e16d71d7cc67296c995e8" and note = "aaaaaaaaaaaaaaaaaaaa"',
+    "me@x.org 10.0.0.1 me@x.org 10.0.0.1 +1 620 555 8424 4111111111111111 " * 400,
+]
+
+
+def test_base_matches_brute_force(make_docs, odd_texts):
+    texts = TEXTS + odd_texts
+    rows = personal_data(make_docs(texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for x, _, _ in want) for k in PAT), texts[r.doc_id][:60]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert r.spans.startswith(joined)
+
+
+def test_secret_is_added_and_filler_is_not(make_docs):
+    rows = {r.doc_id: r.spans for r in personal_data(make_docs(TEXTS)).collect()}
+    a = TEXTS[5].index("4efe")
+    assert rows[5] == f"secret:{a}:{a + 40}"
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "9" * 100_000, "1 " * 60_000, "+1((" * 30_000, "a@" * 50_000, "1." * 60_000, "a@b" + ".c" * 50_000])
+def test_long_runs_are_linear(make_docs, text):
+    r = personal_data(make_docs([text])).collect()[0]
+    k = [r.n_email, r.n_ip, r.n_card, r.n_phone]
+    assert k[0] == (text.startswith("a@b")) and k[2] == 0 and k[3] == 0
+
+
+def test_redaction(make_docs):
+    docs = make_docs(TEXTS + [None, ""])
+    out = redact(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].text == "write [EMAIL] or [EMAIL], not a@b; 🙂 é [EMAIL]."[:0] + re.sub(PAT["email"], "[EMAIL]", TEXTS[0])
+    assert got[5].text.startswith('api token = "[SECRET]" and note = "aaaa')
+    assert got[len(TEXTS)].text is None and got[len(TEXTS) + 1].text == ""
+    assert got[0].n_chars == len(got[0].text)
+
+
+def test_model_and_empty_table(make_docs):
+    docs = make_docs(TEXTS)
+    m = fit(docs)
+    assert all(0.5 <= x <= 0.98 for pair in m.reliability.values() for x in pair)
+    none = docs.filter("doc_id < 0")
+    assert personal_data(none).count() == 0 and redact(none).count() == 0
+    plan = personal_data(docs, m)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
