@@ -1,4 +1,62 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, personal data, mixing, encoding."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicate removal, personal data, mixing to target weights, encoding.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.  All but the
+last return the columns of ``documents``; the last returns each kept text's token count and digests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tesselon.llm.bpe import roundtrip_digests
+from tesselon.llm.common import Scratch
+from tesselon.llm.mixing import mixed_documents
+from tesselon.llm.neardup import one_of_each_group
+from tesselon.llm.pii import redact
+from tesselon.llm.quality import quality_filter
+from tesselon.llm.queries import vocabulary_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a quality rule go."""
+    return quality_filter(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return one_of_each_group(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document appears as often as the mix of sources takes it."""
+    return mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of their decoded text."""
+    return roundtrip_digests(docs, vocabulary_path())
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
+
+#: Near duplicates, mixing and encoding have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return docs
