@@ -6,7 +6,7 @@ import corpus_pipeline as P
 def test_stages_on_a_small_corpus(spark, tmp_path, vocab):
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(500)]
-    clean = lambda n: " ".join(rnd.choice([*words, "the", "of", "and"]) for _ in range(n))
+    clean = lambda n: " ".join(rnd.choice([*words, "the", "of", "and"] + ["in"] * 50) for _ in range(n))
     texts = [clean(80) for _ in range(40)]
     texts += [texts[0], texts[1] + " end", "short", None, " ".join(["x%%%"] * 80), clean(60) + " mail me@x.org now"]
     rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
