@@ -34,6 +34,7 @@ MAX_COPIES = 3
 #: Rows that one task ranks at most, on average.
 SLICE_ROWS = 20_000
 FIX_ROUNDS = 4
+SALTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -150,11 +151,14 @@ def mix(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 def _closer(d: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """One copy more or less of the document that brings each source nearest to its target."""
     gaps = d.groupBy("g").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-    x = d.join(gaps, "g")
+    # A source's rows are spread over salts, so that a hot one is not compared in one task.
+    gaps = gaps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    x = d.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(gaps, ["g", "salt"])
     step = F.when((F.col("gap") > 0) & (F.col("copies") < MAX_COPIES), 1).when((F.col("gap") < 0) & (F.col("copies") > 0), -1)
     x = x.withColumn("step", step).withColumn("left", F.abs(F.col("gap") - F.col("step") * F.col("size")))
     x = x.filter(F.col("step").isNotNull() & (F.col("size") > 0) & (F.col("left") < F.abs("gap")))
-    pick = x.groupBy("g").agg(F.min(F.struct("left", "row_id", "step")).alias("p")).select(F.col("p.row_id").alias("row_id"), F.col("p.step").alias("step"))
+    best = x.groupBy("g", "salt").agg(F.min(F.struct("left", "row_id", "step")).alias("p"))
+    pick = best.groupBy("g").agg(F.min("p").alias("p")).select(F.col("p.row_id").alias("row_id"), F.col("p.step").alias("step"))
     return scratch.write(
         d.join(pick, "row_id", "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).select(d.columns), f"closer{k}"
     )
