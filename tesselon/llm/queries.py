@@ -67,6 +67,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselon.llm.hmm import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
