@@ -67,6 +67,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tesselon.llm.licenses import scan_licenses
+
+    m = F.col("matches")
+    span = lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"))
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size(m).cast("long").alias("n_matches"),
+        F.array_join(F.sort_array(F.array_distinct(m["license"])), ",").alias("licenses"),
+        F.array_join(F.transform(m, span), ",").alias("spans"),
+    )
+
+
 def op10_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselon.llm.hmm import language_scores
 
