@@ -3,12 +3,13 @@
 1. One pass over the texts gives each document its shingle count, a digest of its shingle set, the
    band keys of its sketch and a one-bit signature.  Documents with equal sets form one class; only
    class representatives go on.
-2. Documents that share a band key are candidates.  In each bucket every member is paired with the
-   smallest one; a node first verifies its nearest such partner on full sets, and links are joined
-   into components.
-3. Buckets that still hold several components pair members of different ones.  Per node and other
-   component the nearest pair is verified first, then, where components remain apart, all others.
-   Pairs inside a component are never made, so a group of copies costs a star, not its square.
+2. Documents that share a band key are candidates.  In each bucket every member is paired with a few
+   centres; each node verifies its nearest centres on full sets, and links are joined into components.
+3. Buckets that still hold several components compare members of different ones.  In buckets of up to
+   ``SMALL_BUCKET`` members the pairs that may link are verified as rows, at most a constant number a
+   member.  In larger ones the sets of hashes travel with the members and are intersected inside the
+   join, which gives out links only.  Pairs within a component are never made, so a group of copies
+   costs a star, not its square.
 
 With 36 bands of 7 coordinates a pair at similarity 0.85 shares no band with probability 1e-6.  A
 candidate is passed over only when its signatures are over 6 standard deviations from what 0.85
@@ -26,6 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesselon.llm.common import Scratch, batch_rows
 from tesselon.llm.components import connected_components
@@ -35,6 +37,10 @@ COORDINATES = 256
 BANDS, ROWS = 36, 7
 PERCENT = 85
 SIGMAS = 6.0
+#: Centres that each node verifies first.
+NEAREST = 3
+#: Members up to which a bucket's remaining pairs are made as rows.
+SMALL_BUCKET = 32
 
 _FEATURES = "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
@@ -82,6 +88,17 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _hash_sets(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    from tesselon.llm import shingles as S
+
+    for b in batches:
+        sets = [x.view(np.int64) for x in S.shingle_sets(b.column("text").to_pylist(), SHINGLE)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
+
+
 def _may_link(a: str, b: str) -> Column:
     """Signature and size test on two sides whose columns are prefixed."""
     p = (1 - PERCENT / 100) / 2
@@ -98,6 +115,13 @@ def _apart(a: str, b: str) -> Column:
 SIG = ["n", "s0", "s1", "s2", "s3"]
 
 
+def _across(rows: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of one bucket from different components that may link and meet ``condition``."""
+    p, q = rows.alias("p"), rows.alias("q")
+    met = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.comp") < F.col("q.comp")) & _may_link("p", "q") & condition)
+    return met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     spark = docs.sparkSession
@@ -115,34 +139,37 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     )
     sig = nodes.select("node", *SIG)
     member = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    member = scratch.write(member.join(shared.select("bucket", "low"), "bucket"), "members")
-
-    star = member.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    star = _with_signatures(star, sig).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")
-    star = scratch.write(star, "star")
-    links = scratch.write(_confirm(star, docs, scratch), "links1")
-    tried = star
-
-    for step in (2, 3):
-        comp = scratch.write(connected_components(links, scratch, f"cc{step}"), f"labels{step}")
-        label = member.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        split = label.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-        rest = scratch.write(label.join(split, "bucket", "left_semi").join(sig, "node"), f"rest{step}")
-        p, q = rest.alias("p"), rest.alias("q")
-        pairs = (
-            p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.comp") < F.col("q.comp")) & _may_link("p", "q"))
-            .select(F.col("p.node").alias("x"), F.col("q.node").alias("y"), F.col("p.comp").alias("cx"), F.col("q.comp").alias("cy"), _apart("p", "q"))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cx", "cy", "apart")
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        if step == 2:
-            pairs = pairs.groupBy("b", "cx", "cy").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")
-        pairs = scratch.write(pairs.select("a", "b").distinct(), f"pairs{step}")
-        links = scratch.write(links.unionByName(_confirm(pairs, docs, scratch)), f"links{step}")
-        tried = tried.unionByName(pairs)
-    comp = scratch.write(connected_components(links, scratch, "cc4"), "labels4")
+    shared = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(F.xxhash64("node"), "node")).alias("mid")).filter("low <> high")
+    member = scratch.write(member.join(shared.select("bucket", "low", "high", "mid.node").withColumnRenamed("node", "mid"), "bucket"), "members")
+
+    # Texts of all candidates, moved once; without the hint the plan, and the disk it needs, would change with the size.
+    wanted = member.select(F.col("node").alias("doc_id")).distinct()
+    texts = scratch.write(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
+
+    centres = F.explode(F.array_distinct(F.array("low", "high", "mid")))
+    star = member.select("node", centres.alias("c")).filter("node <> c").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"), "node").distinct()
+    near = Window.partitionBy("node").orderBy("apart", "a", "b")
+    star = _with_signatures(star, sig).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= NEAREST)
+    star = scratch.write(star.select("a", "b").distinct(), "star")
+    links = scratch.write(_confirm(star, texts), "links1")
+
+    comp = scratch.write(connected_components(links, scratch, "cc1"), "labels1")
+    label = scratch.write(member.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), "members-labelled")
+    split = label.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x <> y").select("bucket", "m")
+    rest = scratch.write(label.join(split, "bucket").join(sig, "node"), "rest")
+
+    small = rest.filter(F.col("m") <= SMALL_BUCKET)
+    pairs = _across(small, F.lit(True)).join(star, ["a", "b"], "left_anti")
+    found = _confirm(scratch.write(pairs, "pairs"), texts)
+
+    large = rest.filter(F.col("m") > SMALL_BUCKET)
+    wanted = large.select(F.col("node").alias("doc_id")).distinct()
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_hash_sets, "node long, items array<long>").dropDuplicates(["node"])
+    large = large.join(scratch.write(sets, "sets"), "node")
+    both = F.size(F.array_intersect("p.items", "q.items"))
+    linked = F.lit(100) * both >= F.lit(PERCENT) * (F.size("p.items") + F.size("q.items") - both)
+    links = scratch.write(links.unionByName(found).unionByName(_across(large, linked)).distinct(), "links2")
+    comp = scratch.write(connected_components(links, scratch, "cc2"), "labels2")
 
     class_of = nodes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     out = feats.select("doc_id", "n_shingles", "digest").join(class_of, "digest", "left")
@@ -153,13 +180,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 def _with_signatures(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     rename = lambda x: sig.select(F.col("node").alias(x), F.struct(*SIG).alias(f"s_{x}"))
     both = pairs.join(rename("b"), "b").join(rename("a"), "a")
-    return both.filter(_may_link("s_a", "s_b")).select("a", "b", _apart("s_a", "s_b"))
+    return both.filter(_may_link("s_a", "s_b")).select(*pairs.columns, _apart("s_a", "s_b"))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _confirm(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    text = scratch.write(docs.join(wanted, "doc_id", "left_semi"), "texts")
     left = text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct()

@@ -2,7 +2,9 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
+from tesselon.llm import neardup
 from tesselon.llm import shingles as S
 from tesselon.llm.neardup import near_duplicates, one_of_each_group
 
@@ -75,7 +77,9 @@ def test_every_coordinate_fills_and_estimates():
     assert (one[0] == one[1]).all() and (one[0] == two[0]).all()
 
 
-def test_components_match_brute_force(make_docs, odd_texts):
+@pytest.mark.parametrize("small", [1, 32])
+def test_components_match_brute_force(make_docs, odd_texts, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
     texts = corpus() + odd_texts
     comp, sizes = brute(texts)
     rows = near_duplicates(make_docs(texts)).collect()
@@ -88,9 +92,9 @@ def test_large_group_of_near_copies(make_docs):
     rnd = random.Random(2)
     base = [f"v{i}" for i in range(150)]
     texts = []
-    for _ in range(300):
+    for _ in range(400):
         w = list(base)
-        for _ in range(rnd.randint(0, 3)):
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 6, 9, 15])):
             w[rnd.randrange(150)] = f"x{rnd.random()}"
         texts.append(" ".join(w))
     comp, _ = brute(texts)
