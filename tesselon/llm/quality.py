@@ -150,5 +150,8 @@ def quality_rules(docs: DataFrame, rules=RULES, keep: tuple[str, ...] = ("doc_id
 
 def quality_filter(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
+    # The counter keeps the optimizer from writing the whole rule table into a filter below the projections that it is
+    # built from, where every shared count would be computed again at each mention.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("text"))
-    return quality_rules(whole, rules, ("_row",), "text").filter("kept").select("_row.*")
+    judged = quality_rules(whole, rules, ("_row",), "text").select("_row", "kept", F.monotonically_increasing_id().alias("_stay"))
+    return judged.filter(F.col("kept") & (F.col("_stay") >= 0)).select("_row.*")
