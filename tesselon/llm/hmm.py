@@ -73,6 +73,7 @@ class Vocabulary:
     def __init__(self, top: list[tuple[bytes, int]], class_totals: dict[int, tuple[int, int]], docs: int, total: int, distinct: int):
         self.index = {w: i for i, (w, _) in enumerate(top)}
         self.log_c = [math.log10(c + 0.5) for _, c in top]
+        self.classes = [word_class(w) for w, _ in top]
         self.symbols = min(SYMBOLS, len(top))
         # Tokens and types of each class beyond the symbols.
         rest = dict(class_totals)
@@ -96,33 +97,29 @@ def _encode(shared):
         import pyarrow as pa
 
         voc = shared.value
-        get, log_c, m = voc.index.get, voc.log_c, voc.symbols
+        get, m = voc.index.get, voc.symbols
+        # One entry more for words beyond the table, which the last index reaches.
+        log_c, cls, log_z = np.array([*voc.log_c, 0.0]), np.array([*voc.classes, 0]), np.array(voc.log_z)
+        names = ["n_tokens", "known", "base", "inner", "z", "sym", "rare"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32())]))]
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in names]
             for text in b.column("text").to_pylist():
                 w = words(text)
-                sym, base, inner, z, known, rare = [], voc.log_end, 0.0, 0.0, int(voc.docs > 0), Counter()
-                for x in w:
-                    i = get(x, -1)
-                    if 0 <= i < m:
-                        base += log_c[i]
-                        known += 1
-                        sym.append(i)
-                        continue
-                    k = word_class(x)
-                    sym.append(m + k)
-                    z += voc.log_z[k]
-                    if i >= 0:
-                        base += log_c[i]
-                        inner += log_c[i]
-                        known += 1
-                    else:
-                        rare[x] += 1
-                sym.append(voc.end)
-                for c, v in zip(cols, (len(sym), known, base, inner, z, np.array(sym, np.uint16).tobytes(), [{"w": x, "n": k} for x, k in rare.items()]), strict=True):
+                at = np.array([get(x, -1) for x in w], np.int64)
+                sym = np.append(at, voc.end)
+                other = np.flatnonzero(at >= m)
+                inner = float(log_c[at[other]].sum())
+                kind = cls[at]
+                rare: Counter = Counter()
+                for i in np.flatnonzero(at < 0).tolist():
+                    rare[w[i]] += 1
+                    kind[i] = word_class(w[i])
+                mapped = np.flatnonzero((at >= m) | (at < 0))
+                sym[mapped] = m + kind[mapped]
+                row = (len(sym), int((at >= 0).sum()) + int(voc.docs > 0), float(log_c[at].sum()) + voc.log_end, inner, float(log_z[kind[mapped]].sum()), sym.astype(np.uint16).tobytes(), [{"w": x, "n": k} for x, k in rare.items()])
+                for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32())]))]
-            names = ["n_tokens", "known", "base", "inner", "z", "sym", "rare"]
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id")] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["rid", "doc_id", *names])
 
     return run
@@ -140,16 +137,15 @@ def start_model(size: int, unigram, states: int = STATES):
     return np.full(states, 1 / states), move, emit
 
 
-def _padded(seqs):
-    """Sequences in order of falling length: matrix of symbols, lengths, order."""
+def _packed(seqs):
+    """Sequences end to end in order of falling length: symbols, starts, how many last beyond each step, order."""
     import numpy as np
 
     size = np.array([len(s) for s in seqs])
     order = np.argsort(-size, kind="stable")
     size = size[order]
-    table = np.zeros((len(seqs), int(size[0])), np.int64)
-    table[np.arange(table.shape[1]) < size[:, None]] = np.concatenate([seqs[i] for i in order])
-    return table, size, order
+    active = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")
+    return np.concatenate([seqs[i] for i in order]), np.cumsum(size) - size, active, order
 
 
 def forward(seqs, start, move, emit):
@@ -159,13 +155,11 @@ def forward(seqs, start, move, emit):
     out = np.zeros(len(seqs))
     if not len(seqs):
         return out
-    table, size, order = _padded(seqs)
-    active = len(size) - np.searchsorted(size[::-1], np.arange(table.shape[1]), side="right")
-    total = np.zeros(len(size))
+    flat, at, active, order = _packed(seqs)
+    total = np.zeros(len(at))
     alpha = None
-    for t in range(table.shape[1]):
-        n = active[t]
-        e = emit[table[:n, t]]
+    for t, n in enumerate(active.tolist()):
+        e = emit[flat[at[:n] + t]]
         alpha = start * e if t == 0 else (alpha[:n] @ move) * e
         s = alpha.sum(1)
         alpha = alpha / s[:, None]
@@ -182,32 +176,31 @@ def expected_counts(seqs, start, move, emit):
     starts, moves, emissions, ll = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape), 0.0
     if not len(seqs):
         return starts, moves, emissions, ll
-    table, size, _ = _padded(seqs)
-    steps = table.shape[1]
-    active = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
+    flat, first, active, _ = _packed(seqs)
+    steps, active = len(active), active.tolist()
     alphas, scales = [], []
     for t in range(steps):
         n = active[t]
-        e = emit[table[:n, t]]
+        e = emit[flat[first[:n] + t]]
         a = start * e if t == 0 else (alphas[-1][:n] @ move) * e
         s = a.sum(1)
-        ll += np.log(s).sum()
+        ll += float(np.log(s).sum(dtype=float))
         alphas.append(a / s[:, None])
         scales.append(s)
-    beta = np.ones((active[-1], k))
+    beta = np.ones((active[-1], k), emit.dtype)
     gammas = [None] * steps
     for t in range(steps - 1, -1, -1):
         gammas[t] = alphas[t] * beta
         if t:
             n = active[t]
-            w = emit[table[:n, t]] * beta / scales[t][:, None]
+            w = emit[flat[first[:n] + t]] * beta / scales[t][:, None]
             moves += alphas[t - 1][:n].T @ w
-            beta = np.ones((active[t - 1], k))
+            beta = np.ones((active[t - 1], k), emit.dtype)
             beta[:n] = w @ move.T
     moves *= move
     starts = gammas[0].sum(0)
     g = np.concatenate(gammas)
-    at = np.concatenate([table[: active[t], t] for t in range(steps)])
+    at = np.concatenate([flat[first[: active[t]] + t] for t in range(steps)])
     for j in range(k):
         emissions[:, j] = np.bincount(at, g[:, j], len(emit))
     return starts, moves, emissions, ll
@@ -218,7 +211,8 @@ def _e_step(shared):
         import numpy as np
         import pyarrow as pa
 
-        start, move, emit = shared.value
+        # Single precision does for expected counts, which are summed in double; scores are computed in double.
+        start, move, emit = (x.astype(np.float32) for x in shared.value)
         k = len(start)
         total = np.zeros((len(emit) + k + 2, k))
         for b in batches:
