@@ -229,5 +229,6 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
         found = scratch.write(packed.join(graphs, ["dim", "shard"]).mapInArrow(_search(k), "query_id long, vec_id long, score double"), "found")
     finally:
         batch_rows(spark, 512)
+    scratch.keep_only(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -60,6 +60,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[DataFrame] = []
 
     def new_path(self, name: str) -> str:
         self.n += 1
@@ -70,12 +71,18 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tesselon_path = path
+        self.tables.append(out)
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        path = getattr(df, "_tesselon_path", None)
-        if path:
-            delete_path(self.spark, path)
+    def drop(self, df: DataFrame) -> None:
+        delete_path(self.spark, df._tesselon_path)
+        self.tables = [t for t in self.tables if t is not df]
+
+    def keep_only(self, *kept: DataFrame) -> None:
+        """Deletes the tables that the result no longer reads."""
+        for t in list(self.tables):
+            if all(t is not k for k in kept):
+                self.drop(t)
 
 
 def crc_mod(doc_id: Column | str, n: int) -> Column:

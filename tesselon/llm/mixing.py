@@ -107,10 +107,10 @@ def solve_dual(cells: DataFrame, columns: list[str], targets: dict[str, dict[str
     return {names[i]: float(lam[i]) for i in range(len(names))}
 
 
-def mix(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def mix(rows: DataFrame) -> DataFrame:
     """row_id, doc_id, source, size, source_size, target, rate, copies, taken for ``rows`` of doc_id, source, text."""
     spark = rows.sparkSession
-    scratch = scratch or Scratch(spark, "mix")
+    scratch = Scratch(spark, "mix")
     row_id = F.col("row_id") if "row_id" in rows.columns else F.monotonically_increasing_id()
     base = scratch.write(
         rows.select(row_id.alias("row_id"), "doc_id", "source", group_key(F.col("source")).alias("g"), word_count(F.col("text")).alias("size")),
@@ -145,6 +145,7 @@ def mix(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     )
     for k in range(FIX_ROUNDS):
         d = _closer(d, scratch, k)
+        scratch.keep_only(d)
     return d.select("row_id", "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -170,6 +171,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "mixed")
     # The rows get an identity of their own, which holds because they are written before it is used.
     rows = scratch.write(docs.select(F.monotonically_increasing_id().alias("_row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "rows")
-    plan = mix(rows.select(F.col("_row_id").alias("row_id"), "_doc.doc_id", "_doc.source", "_doc.text"), scratch)
+    plan = mix(rows.select(F.col("_row_id").alias("row_id"), "_doc.doc_id", "_doc.source", "_doc.text"))
     taken = rows.join(plan.filter("copies > 0").select(F.col("row_id").alias("_row_id"), "copies"), "_row_id")
     return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

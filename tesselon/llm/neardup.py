@@ -169,8 +169,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     both = F.size(F.array_intersect("p.items", "q.items"))
     linked = F.lit(100) * both >= F.lit(PERCENT) * (F.size("p.items") + F.size("q.items") - both)
     links = scratch.write(links.unionByName(found).unionByName(_across(large, linked)).distinct(), "links2")
-    comp = scratch.write(connected_components(links, scratch, "cc2"), "labels2")
+    comp = comp_table = scratch.write(connected_components(links, scratch, "cc2"), "labels2")
 
+    scratch.keep_only(feats, nodes, comp_table)
     class_of = nodes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     out = feats.select("doc_id", "n_shingles", "digest").join(class_of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

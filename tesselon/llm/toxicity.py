@@ -310,5 +310,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if lexicon else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
+    scratch.keep_only(hits)
     scored = hits.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
