@@ -269,6 +269,16 @@ def union_list(geoms: Column | str) -> Column:
     return F.pandas_udf(run, BUILT)(_col(geoms))
 
 
+def union_agg(geoms: Column | str) -> Column:
+    """Union of a group as an aggregate function.  It gathers each group whole; see ``dissolve`` for large groups."""
+
+    def run(s: pd.Series) -> bytes:
+        return G.to_wkb(T.union_all([G.from_wkb(bytes(b)) for b in s if b is not None]))
+
+    run.__annotations__ = {"s": pd.Series, "return": bytes}
+    return F.pandas_udf(run, "binary")(_col(geoms))
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions that need no constants callable from SQL as ``st_*``; names registered are returned."""
 

@@ -531,6 +531,42 @@ def rename_and_set_geometry(spark, d):
     return g.set_geometry("place").df.groupBy("k", "c_nationkey").agg(F.count("*").alias("n"))
 
 
+# Files: written to the shared folder, read again
+
+def _shared(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base or tempfile.gettempdir()}/tesselon-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT c_custkey, c_mktsegment, x AS px FROM ({POINTS}) WHERE x BETWEEN 0 AND 90")
+def geoparquet_round_trip(spark, d):
+    from tesselon.sources.geoparquet import read_parquet
+
+    path = _shared(spark)
+    points(spark, d).to_parquet(path)
+    g = read_parquet(spark, path).cx[0:90, :]
+    return g.df.select("c_custkey", "c_mktsegment", g.x.alias("px"))
+
+
+@query(f"SELECT c_custkey, y AS py FROM ({POINTS}) WHERE c_custkey < 100 OR c_nationkey = 3")
+def feather_round_trip(spark, d):
+    from tesselon.sources.geofeather import read_feather
+
+    path = _shared(spark)
+    points(spark, d).to_feather(path)
+    g = read_feather(spark, path, columns=["c_custkey", "geometry"], filters=[[("c_custkey", "<", 100)], [("c_nationkey", "==", 3)]])
+    return g.df.select("c_custkey", g.y.alias("py"))
+
+
+@query("SELECT c_nationkey, CAST(count(*) AS DOUBLE) AS area FROM customer GROUP BY c_nationkey")
+def union_aggregate(spark, d):
+    t = tiles(spark, d)
+    return t.df.groupBy("c_nationkey").agg(st.union_agg("geometry").alias("g")).select("c_nationkey", F.round(st.area("g"), 6).alias("area"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

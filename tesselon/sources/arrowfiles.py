@@ -45,23 +45,39 @@ class Writer(DataSourceArrowWriter):
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
-        from tesselon.sources.geometa import with_boxes
+        from tesselon.sources.geometa import Boxes
 
         context = TaskContext.get()
         number = context.partitionId() if context else 0
+        fs, root = filesystem(self.path)
+        name = f"{root}/_{self.job}-{number}-{uuid.uuid4().hex}"
+        geo = json.loads(self.geo)
+        if self.kind == "parquet":
+            # Row groups go out as they come; the boxes are known, and added, at the end.
+            boxes, writer, out = Boxes(geo), None, None
+            for batch in iterator:
+                if writer is None:
+                    out = fs.open_output_stream(name)
+                    writer = pq.ParquetWriter(out, batch.schema, compression="zstd")
+                boxes.add(batch)
+                writer.write_batch(batch)
+            if writer is None:
+                return Part(None, number)
+            writer.add_key_value_metadata({"geo": boxes.text()})
+            writer.close()
+            out.close()
+            return Part(name, number)
+        # The Arrow file format has its metadata in front, so a partition is held until its boxes are known.
         batches = list(iterator)
         if not batches:
             return Part(None, number)
+        boxes = Boxes(geo)
+        for batch in batches:
+            boxes.add(batch)
         table = pa.Table.from_batches(batches)
-        meta = {k: v for k, v in (table.schema.metadata or {}).items()} | {b"geo": with_boxes(json.loads(self.geo), table)}
-        table = table.replace_schema_metadata(meta)
-        fs, root = filesystem(self.path)
-        name = f"{root}/_{self.job}-{number}-{uuid.uuid4().hex}"
+        table = table.replace_schema_metadata({**(table.schema.metadata or {}), b"geo": boxes.text().encode()})
         with fs.open_output_stream(name) as out:
-            if self.kind == "parquet":
-                pq.write_table(table, out, compression="zstd", row_group_size=1 << 17)
-            else:
-                feather.write_feather(table, out, compression="lz4")
+            feather.write_feather(table, out, compression="lz4")
         return Part(name, number)
 
     def commit(self, messages):

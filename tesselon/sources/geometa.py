@@ -22,19 +22,26 @@ def describe(frame: GeoFrame, covering: bool = True) -> dict:
     return {"version": VERSION, "primary_column": frame.name, "columns": columns}
 
 
-def with_boxes(geo: dict, batchlike) -> bytes:
-    """The JSON of one file: each geometry column's box is that of the file's rows."""
-    import pyarrow.compute as pc
-
-    geo = json.loads(json.dumps(geo))
-    for g, c in geo["columns"].items():
-        box = batchlike.column(box_name(g)).combine_chunks()
-        v = []
-        for k, f in (("xmin", pc.min), ("ymin", pc.min), ("xmax", pc.max), ("ymax", pc.max)):
-            v.append(f(pc.struct_field(box, k)).as_py())
-        if None not in v:
-            c["bbox"] = v
-    return json.dumps(geo).encode()
+class Boxes:
+    """Collects the boxes of one file's rows and gives its JSON."""
+
+    def __init__(self, geo: dict):
+        self.geo = geo
+        self.found: dict[str, list] = {}
+
+    def add(self, batch) -> None:
+        import pyarrow.compute as pc
+
+        for g in self.geo["columns"]:
+            box = batch.column(batch.schema.get_field_index(box_name(g)))
+            v = [f(pc.struct_field(box, k)).as_py() for k, f in (("xmin", pc.min), ("ymin", pc.min), ("xmax", pc.max), ("ymax", pc.max))]
+            if None not in v:
+                o = self.found.get(g, v)
+                self.found[g] = [min(o[0], v[0]), min(o[1], v[1]), max(o[2], v[2]), max(o[3], v[3])]
+
+    def text(self) -> str:
+        columns = {g: c | ({"bbox": self.found[g]} if g in self.found else {}) for g, c in self.geo["columns"].items()}
+        return json.dumps(self.geo | {"columns": columns})
 
 
 def read(metadata: dict | None) -> dict:

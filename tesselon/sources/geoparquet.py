@@ -23,7 +23,7 @@ def footers(spark: SparkSession, files: list[str], kind: str = "parquet") -> Dat
             for path in pdf["path"]:
                 fs, p = arrowfiles.filesystem(path)
                 with fs.open_input_file(p) as f:
-                    meta = pq.read_schema(f).metadata if kind == "parquet" else pa.ipc.open_file(f).schema.metadata
+                    meta = pq.read_metadata(f).metadata if kind == "parquet" else pa.ipc.open_file(f).schema.metadata
                 rows.append((path, (meta or {}).get(b"geo", b"").decode() or None))
             yield pd.DataFrame(rows, columns=["path", "geo"])
 
