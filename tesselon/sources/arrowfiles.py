@@ -58,7 +58,8 @@ class Writer(DataSourceArrowWriter):
             for batch in iterator:
                 if writer is None:
                     out = fs.open_output_stream(name)
-                    writer = pq.ParquetWriter(out, batch.schema, compression="zstd")
+                    # Without a stored Arrow schema readers take schema metadata from the keys that are added below.
+                    writer = pq.ParquetWriter(out, batch.schema, compression="zstd", store_schema=False)
                 boxes.add(batch)
                 writer.write_batch(batch)
             if writer is None:
