@@ -3,8 +3,8 @@
 Tokens are the words of the text, lower-cased in A-Z, then one end token.  Rows whose crc32 of the id
 modulo 5 is 1 are held out of all learning.
 
-*Counts.*  Every training word is counted (tasks send partial counts; nothing is dropped).  The
-``TOP_WORDS`` most frequent, a bounded table, travel to the tasks; all other words are looked up by a
+*Counts.*  Every training word is counted (tasks send partial counts; nothing is dropped).  The most
+frequent, at most ``TOP_WORDS``, are a bounded table that travels to the tasks; all other words are looked up by a
 join, so the vocabulary may grow without bound.
 
 *Model.*  The chain emits symbols: the ``SYMBOLS`` most frequent words, the end token, and for other
@@ -101,7 +101,7 @@ def _encode(shared):
         # One entry more for words beyond the table, which the last index reaches.
         log_c, cls, log_z = np.array([*voc.log_c, 0.0]), np.array([*voc.classes, 0]), np.array(voc.log_z)
         names = ["n_tokens", "known", "base", "inner", "z", "sym", "rare"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32())]))]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary()]
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for text in b.column("text").to_pylist():
@@ -117,10 +117,13 @@ def _encode(shared):
                     kind[i] = word_class(w[i])
                 mapped = np.flatnonzero((at >= m) | (at < 0))
                 sym[mapped] = m + kind[mapped]
-                row = (len(sym), int((at >= 0).sum()) + int(voc.docs > 0), float(log_c[at].sum()) + voc.log_end, inner, float(log_z[kind[mapped]].sum()), sym.astype(np.uint16).tobytes(), [{"w": x, "n": k} for x, k in rare.items()])
+                row = (len(sym), int((at >= 0).sum()) + int(voc.docs > 0), float(log_c[at].sum()) + voc.log_end, inner, float(log_z[kind[mapped]].sum()), sym.astype(np.uint16).tobytes(), rare)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id")] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["rid", "doc_id", *names])
+            rare = cols.pop()
+            pairs = pa.StructArray.from_arrays([pa.array([x for r in rare for x in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int32())], ["w", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)], lists], ["rid", "doc_id", *names])
 
     return run
 
@@ -268,6 +271,21 @@ def train(encoded: DataFrame, size: int, unigram, states: int = STATES, rounds:
     return model, trace
 
 
+def _steps():
+    """Counts on a logarithmic scale, fine enough to keep small ones apart."""
+    return F.floor(F.log2("c") * 256)
+
+
+def _cut(counts: DataFrame) -> int:
+    """The step above which at most ``TOP_WORDS`` words lie; found from a histogram of bounded size, not by sorting."""
+    room = TOP_WORDS
+    for r in sorted(counts.groupBy(_steps().alias("s")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["s"]):
+        room -= r["n"]
+        if room < 0:
+            return r["s"]
+    return -1
+
+
 def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     import numpy as np
@@ -284,7 +302,9 @@ def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     counts = scratch.write(counts.groupBy("word").agg(F.first("cls").alias("cls"), F.sum("c").alias("c")), "counts")
     per_class = counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     n_docs = train_docs.count()
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).select("word", "c").collect()]
+    cut = _cut(counts)
+    top = [(bytes(r["word"]), r["c"]) for r in counts.filter(_steps() > cut).select("word", "c").collect()]
+    top.sort(key=lambda x: (-x[1], x[0]))
     voc = Vocabulary(top, {r["cls"]: (r["c"], r["v"]) for r in per_class}, n_docs, sum(r["c"] for r in per_class), sum(r["v"] for r in per_class))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -294,7 +314,7 @@ def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     # Words beyond the table: one row per document and word, looked up by a join.
     rare = encoded.select("rid", F.explode("rare").alias("x")).select("rid", "x.w", "x.n")
     low = counts.select(F.col("word").alias("w"), "c")
-    low = low.filter(F.col("c") <= top[-1][1]) if len(top) == TOP_WORDS else low
+    low = low.filter(_steps() <= cut)
     seen = rare.join(low, "w", "left").groupBy("rid").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("beyond"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("found")
     )
