@@ -508,6 +508,28 @@ class GeoFrame:
         return to_feather(self, path, **kw)
 
 
+    @property
+    def series(self) -> GeoSeries:
+        """The active geometry column alone, with the row id where there is one."""
+        keep = [self.name, box_name(self.name), *([ROW_ID] if ROW_ID in self.df.columns else [])]
+        return GeoSeries(self.df.select(*[_q(c) for c in keep]), self.name, self.extents)
+
+
+class GeoSeries(GeoFrame):
+    """A frame of one geometry column.  Methods that keep the column give series, others what frames give."""
+
+    def _on(self, df: DataFrame, keep_extents: bool = False):
+        out = super()._on(df, keep_extents)
+        return out.series if isinstance(out, GeoFrame) and set(out.columns) <= {self.name, ROW_ID} else out
+
+    def _construct(self, built: Column, **meta) -> GeoSeries:
+        return super()._construct(built, **meta).series
+
+    def to_frame(self, name: str | None = None) -> GeoFrame:
+        out = GeoFrame(self.df, self.name, self.extents)
+        return out.rename_geometry(name) if name and name != self.name else out
+
+
 def _predicate_method(name: str):
     def method(self, other) -> Column:
         return self._predicate(name, other)
@@ -579,6 +601,10 @@ def _local_frame(spark: SparkSession, pdf, geometry: str) -> DataFrame:
 
 # Frames from columns
 
+from_df = GeoFrame.from_df
+from_local = GeoFrame.from_local
+
+
 def points_from_xy(df: DataFrame, x: str = "x", y: str = "y", z: str | None = None, crs=None, name: str = "geometry") -> GeoFrame:
     """Points from numeric columns; their box is the coordinates themselves, without a pass over Python."""
     cx, cy = _q(x).cast("double"), _q(y).cast("double")

@@ -119,3 +119,55 @@ def sjoin(left: GeoFrame, right: GeoFrame, how: str = "inner", predicate: str =
     else:
         out = l.join(found.select("_lid").distinct(), "_lid", f"left_{how}").drop("_lid")
     return GeoFrame(out, lg)
+
+
+def sjoin_nearest(left: GeoFrame, right: GeoFrame, k: int = 1, max_distance: float | None = None, distance_col: str = "distance", max_rounds: int = 40) -> DataFrame:
+    """Each left row with its ``k`` nearest right rows by distance, ties to the smaller right row id.
+
+    Expanding search: rows look in boxes of a radius; those whose ``k``-th partner is not surely nearest
+    go on with twice the radius.  Both frames need ``__row_id``.  Rows without geometry find nothing.
+    """
+    from pyspark.sql.window import Window
+
+    for f in (left, right):
+        if ROW_ID not in f.df.columns:
+            raise ValueError("both frames need an explicit __row_id")
+    sized = grid(left.df, box_name(left.name), right.df, box_name(right.name))
+    right_rows = right.df.select(F.col(ROW_ID).alias("right_id"), F.col(f"`{right.name}`").alias("_rg"), F.col(f"`{box_name(right.name)}`").alias("_rb")).filter("_rb is not null")
+    n = right_rows.count()
+    todo = left.df.select(F.col(ROW_ID).alias("left_id"), F.col(f"`{left.name}`").alias("_lg"), F.col(f"`{box_name(left.name)}`").alias("_lb")).filter("_lb is not null")
+    schema = "left_id bigint, right_id bigint, distance double"
+    done = left.df.sparkSession.createDataFrame([], schema)
+    if sized is not None and n:
+        radius, want = sized[0], min(k, n)
+        for _ in range(max_rounds):
+            limit = radius if max_distance is None else min(radius, max_distance)
+            b = F.col("_lb")
+            wide = todo.withColumn("_wide", F.struct(*[(b[c] + F.lit(s * limit)).alias(c) for c, s in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1))]))
+            hits = _cell_pairs(wide, "_wide", right_rows, "_rb", limit)
+            hits = hits.select("left_id", "right_id", st.distance("_lg", "_rg").alias("distance")).filter(F.col("distance") <= limit)
+            rank = F.row_number().over(Window.partitionBy("left_id").orderBy("distance", "right_id"))
+            best = fixed(hits.withColumn("_r", rank).filter(F.col("_r") <= want))
+            last = max_distance is not None and limit >= max_distance
+            full = best.groupBy("left_id").agg(F.count("*").alias("_n")).filter(F.lit(last) | (F.col("_n") >= want)).select("left_id")
+            done = fixed(done.unionByName(best.join(full, "left_id", "left_semi").select("left_id", "right_id", "distance")))
+            todo = fixed(todo.join(full, "left_id", "left_anti"))
+            if last or todo.isEmpty():
+                break
+            radius *= 2
+    return done.withColumnRenamed("distance", distance_col)
+
+
+def _cell_pairs(left: DataFrame, lbox: str, right: DataFrame, rbox: str, radius: float) -> DataFrame:
+    """Pairs whose boxes meet, by the grid of ``sjoin``."""
+    size, top = grid(left, lbox, right, rbox) or (max(radius, 1e-9), 0)
+    a, b = _cells(left, lbox, size, top), _cells(right, rbox, size, top).withColumnRenamed("_own", "_rown")
+    p, q = F.col(lbox), F.col(rbox)
+    g = F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
+    met = a.join(b, ["_level", "_cx", "_cy"]).filter(
+        (F.col("_level") == F.greatest("_own", "_rown"))
+        & _box_condition("intersects", p, q)
+        & (F.col("_cx") == F.floor(F.greatest(p["xmin"], q["xmin"]) / g))
+        & (F.col("_cy") == F.floor(F.greatest(p["ymin"], q["ymin"]) / g))
+    )
+    return met.drop("_level", "_cx", "_cy", "_own", "_rown")
