@@ -7,6 +7,7 @@ equivalent is ``bytes.split()``, whose separators are exactly those six ASCII ch
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -91,6 +92,22 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(n)
 
 
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
+PIECE = 1 << 20
+
+
+def pieces(text: str, size: int = PIECE):
+    """The text cut at white space into pieces of about ``size`` characters, so that no list of all its words is made."""
+    at = 0
+    while len(text) - at > size:
+        m = _BLANK.search(text, at + size)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def batch_rows(spark: SparkSession, rows: int) -> None:
     """Bounds the rows of an Arrow batch, and with them a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

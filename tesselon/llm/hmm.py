@@ -28,7 +28,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import Scratch, batch_rows, crc_mod
+from tesselon.llm.common import Scratch, batch_rows, crc_mod, pieces
 
 TOP_WORDS = 131_072
 SYMBOLS = 8_192
@@ -39,8 +39,10 @@ SEGMENT = 256
 FLUSH = 300_000
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def word_lists(text: str | None):
+    """The words of a text, a piece of it at a time."""
+    for part in pieces(text or ""):
+        yield part.encode().lower().split()
 
 
 def word_class(w: bytes) -> int:
@@ -59,10 +61,11 @@ def _count(batches):
     n: Counter = Counter()
     for b in batches:
         for text in b.column("text").to_pylist():
-            n.update(words(text))
-        if len(n) >= FLUSH:
-            yield out()
-            n = Counter()
+            for w in word_lists(text):
+                n.update(w)
+                if len(n) >= FLUSH:
+                    yield out()
+                    n = Counter()
     if n:
         yield out()
 
@@ -105,19 +108,21 @@ def _encode(shared):
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for text in b.column("text").to_pylist():
-                w = words(text)
-                at = np.array([get(x, -1) for x in w], np.int64)
-                sym = np.append(at, voc.end)
-                other = np.flatnonzero(at >= m)
-                inner = float(log_c[at[other]].sum())
-                kind = cls[at]
-                rare: Counter = Counter()
-                for i in np.flatnonzero(at < 0).tolist():
-                    rare[w[i]] += 1
-                    kind[i] = word_class(w[i])
-                mapped = np.flatnonzero((at >= m) | (at < 0))
-                sym[mapped] = m + kind[mapped]
-                row = (len(sym), int((at >= 0).sum()) + int(voc.docs > 0), float(log_c[at].sum()) + voc.log_end, inner, float(log_z[kind[mapped]].sum()), sym.astype(np.uint16).tobytes(), rare)
+                known, base, inner, z, syms, rare = int(voc.docs > 0), voc.log_end, 0.0, 0.0, [], Counter()
+                for w in word_lists(text):
+                    at = np.array([get(x, -1) for x in w], np.int64)
+                    kind = cls[at]
+                    for i in np.flatnonzero(at < 0).tolist():
+                        rare[w[i]] += 1
+                        kind[i] = word_class(w[i])
+                    mapped = (at >= m) | (at < 0)
+                    known += int((at >= 0).sum())
+                    base += float(log_c[at].sum())
+                    inner += float(log_c[at[at >= m]].sum())
+                    z += float(log_z[kind[mapped]].sum())
+                    syms.append(np.where(mapped, m + kind, at).astype(np.uint16))
+                sym = np.concatenate([*syms, np.array([voc.end], np.uint16)])
+                row = (len(sym), known, base, inner, z, sym.tobytes(), rare)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             rare = cols.pop()

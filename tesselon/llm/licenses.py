@@ -153,9 +153,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     def run(batches):
         import pyarrow as pa
 
+        from tesselon.llm.shingles import grouped
+
         kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("containment", pa.float64())]))
         for b in batches:
-            rows = [[dict(zip(("license", "start", "end", "containment"), m, strict=True)) for m in r] for r in scanner(listed).scan(b.column("text").to_pylist())]
+            texts = b.column("text").to_pylist()
+            found = [r for i, j in grouped(texts) for r in scanner(listed).scan(texts[i:j])]
+            rows = [[dict(zip(("license", "start", "end", "containment"), m, strict=True)) for m in r] for r in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, kind)], ["doc_id", "matches"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

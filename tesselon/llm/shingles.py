@@ -30,34 +30,63 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
+BLOCK = 1 << 20
+
+
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) == 1:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(size, U(base))
+            p = np.full(BLOCK + 1, U(base))
             p[0] = U(1)
             _powers[k] = np.multiply.accumulate(p)
     return _powers[0], _powers[1]
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, its byte span, and the first word of each text (one more entry at the end)."""
+    """Hash of each word, its byte span, and the first word of each text (one more entry at the end).
+
+    A word's hash is a polynomial in its bytes, taken from running sums that are made block by block.
+    """
     raw = [(t or "").encode() for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     starts_of = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])]).astype(np.int64)
     space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if not space[0] else edge
     begin, end = edge[0::2], edge[1::2]
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data] * power[: len(data)], dtype=U)])
-    h = mix64((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(U) * _POSITION[63])
+    power, inverse = _power_tables()
+    low, high, back = np.empty(len(begin), U), np.empty(len(end), U), np.empty(len(begin), U)
+    carry = 0
+    for s in range(0, len(data), BLOCK):
+        part = data[s : s + BLOCK]
+        shift, unshift = U(pow(_BASE, s, 2**64)), U(pow(_BASE_INVERSE, s, 2**64))
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[part] * power[: len(part)], dtype=U)])
+        for at, out in ((begin, low), (end, high)):
+            i, j = np.searchsorted(at, [s, s + len(part)])
+            out[i:j] = U(carry) + shift * sums[at[i:j] - s]
+            if at is begin:
+                back[i:j] = unshift * inverse[at[i:j] - s]
+        carry = (carry + int(shift) * int(sums[-1])) % 2**64
+    h = mix64((high - low) * back + (end - begin).astype(U) * _POSITION[63])
     return h, begin, end, np.searchsorted(begin, starts_of)
 
 
+def grouped(texts: list[str | None], size: int = 4 * BLOCK):
+    """(first, last) of runs of texts that together have about ``size`` characters, to bound what is worked on at once."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= size:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words of one text (or of several, if runs across them are dropped)."""
     n = len(words) - size + 1
-    if n <= 0:
+    if n <= 0 or size <= 0:
         return np.empty(0, U)
     acc = np.full(n, U(size * int(_POSITION[62]) % 2**64), U)
     for j in range(size):
@@ -67,14 +96,15 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as its one shingle."""
-    words, _, _, first = word_hashes(texts)
-    runs = window_hashes(words, size)
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= size:
-            out.append(np.unique(runs[a : b - size + 1]))
-        else:
-            out.append(window_hashes(words[a:b], b - a) if b > a else np.empty(0, U))
+    for i, j in grouped(texts):
+        words, _, _, first = word_hashes(texts[i:j])
+        runs = window_hashes(words, size)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= size:
+                out.append(np.unique(runs[a : b - size + 1]))
+            else:
+                out.append(window_hashes(words[a:b], b - a) if b > a else np.empty(0, U))
     return out
 
 

@@ -52,7 +52,21 @@ def counter(path: str):
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return lambda texts: [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    whole = lambda texts: [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    from tesselon.llm.bpe import BLOCK, transducer
+
+    try:
+        tr = transducer(path)
+    except ValueError:  # not a byte-level vocabulary: no streaming form
+        return whole
+
+    def count(texts):
+        # Very long texts are streamed, which gives the same ids from bounded memory.
+        if max(map(len, texts), default=0) < BATCH_CHARS:
+            return whole(texts)
+        return [sum(map(len, tr.stream(t[i : i + BLOCK] for i in range(0, len(t), BLOCK)))) if len(t) >= BATCH_CHARS else whole([t])[0] for t in texts]
+
+    return count
 
 
 def _encode(path: str):

@@ -27,7 +27,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import Scratch, batch_rows, crc_mod
+from tesselon.llm.common import Scratch, batch_rows, crc_mod, pieces
 
 MAX_LABELLED = 40_000
 MAX_TERMS = 4_096
@@ -38,8 +38,8 @@ CACHE = 100_000
 _STRIP = ".,;:!?\"'()[]{}|#*$%&<>-_=+~`/\\"
 
 
-def words(text: str | None) -> list[str]:
-    return [w for w in (x.strip(_STRIP) for x in (text or "").lower().split()) if w]
+def words(text: str | None) -> set[str]:
+    return {w for part in pieces(text or "") for w in (x.strip(_STRIP) for x in part.lower().split()) if w}
 
 
 def terms_of(word: str) -> list[str]:
@@ -53,7 +53,7 @@ def _term_counts(batches):
     for b in batches:
         total, bad = Counter(), Counter()
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            found = {t for w in set(words(text)) for t in terms_of(w)}
+            found = {t for w in words(text) for t in terms_of(w)}
             total.update(found)
             if toxic:
                 bad.update(found)
@@ -68,7 +68,7 @@ def _clean_counts(wanted: set[str]):
         for b in batches:
             n = Counter()
             for text in b.column("text").to_pylist():
-                n.update({t for w in set(words(text)) for t in terms_of(w) if t in wanted})
+                n.update({t for w in words(text) for t in terms_of(w) if t in wanted})
             keys = list(n)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[k] for k in keys], pa.int64())], ["term", "good"])
 
@@ -107,7 +107,9 @@ def _hits(lexicon: list[tuple[str, float]]):
         for b in batches:
             rows, size = [], []
             for text in b.column("text").to_pylist():
-                n, count = 0, Counter((text or "").lower().split())
+                n, count = 0, Counter()
+                for part in pieces(text or ""):
+                    count.update(part.lower().split())
                 hits: Counter = Counter()
                 for raw, k in count.items():
                     n += k

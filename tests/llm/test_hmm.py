@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from tesselon.llm import hmm
+from tesselon.llm import common, hmm
 
 
 def held(i):
@@ -50,6 +50,8 @@ def corpus():
 def test_base_scores_probability_and_gain(make_docs, odd_texts, monkeypatch):
     texts = corpus() + odd_texts
     ids = [*range(len(texts) - 1), None]
+    monkeypatch.setattr(common, "PIECE", 40)
+    monkeypatch.setattr(common.pieces, "__defaults__", (40,))
     for top, symbols in ((50, 20), (131072, 8192)):
         monkeypatch.setattr(hmm, "TOP_WORDS", top)
         monkeypatch.setattr(hmm, "SYMBOLS", symbols)

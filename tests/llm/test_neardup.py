@@ -65,6 +65,15 @@ def test_sets_match_brute_force(odd_texts):
     assert S.similar(*S.shingle_sets(["A b c", "a B c"]), 100)
 
 
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    texts = ["x" * 5000 + " " + "yz " * 700, None, " a b", "w" * 3000]
+    want = [s.tolist() for s in S.shingle_sets(texts)]
+    monkeypatch.setattr(S, "BLOCK", 64)
+    monkeypatch.setattr(S.grouped, "__defaults__", (100,))
+    monkeypatch.setattr(S, "_powers", [np.ones(1, S.U), np.ones(1, S.U)])
+    assert [s.tolist() for s in S.shingle_sets(texts)] == want
+
+
 def test_every_coordinate_fills_and_estimates():
     rnd = np.random.default_rng(0)
     for n in (1, 3, 40, 5000):

@@ -39,5 +39,16 @@ def test_other_vocabularies(make_docs, name):
     assert {r.doc_id: r.n_tokens > 0 for r in rows} == {0: True, 1: False}
 
 
+def test_very_long_texts_are_streamed(make_docs, vocab):
+    from tokenizers import Tokenizer
+
+    from tesselon.llm import token_counts as C
+
+    text = "word and 'll 🙂 " * 80_000
+    assert len(text) >= C.BATCH_CHARS
+    rows = {r.doc_id: r.n_tokens for r in token_counts(make_docs([text, "a b"]), vocab).collect()}
+    assert rows == {0: len(Tokenizer.from_file(vocab).encode(text, add_special_tokens=False).ids), 1: 2}
+
+
 def test_empty_table(make_docs, vocab):
     assert token_counts(make_docs(["x"]).filter("doc_id < 0"), vocab).count() == 0
