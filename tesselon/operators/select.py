@@ -67,7 +67,6 @@ def clip(frame: GeoFrame, mask, keep_geom_type: bool = False) -> GeoFrame:
     from tesselon.operators.frame import is_box
 
     near = frame.df.filter(_overlap(frame.bbox, b))
-    whole = _inside(frame.bbox, b) if is_box(g) else F.lit(False)
     wkb = G.to_wkb(g)
 
     def cut(x, mask_wkb, keep, box_only):
@@ -83,7 +82,6 @@ def clip(frame: GeoFrame, mask, keep_geom_type: bool = False) -> GeoFrame:
 
     if frame.meta.get("types") == ["Point"] and is_box(g):
         return frame._on(near)
-    del whole
     built = st.builder(cut)(frame.geometry, mask_wkb=wkb, keep=keep_geom_type, box_only=is_box(g))
     out = GeoFrame._built(near, frame.name, built, {"crs": frame.crs})
     return GeoFrame(out.df.filter(F.col(f"`{box_name(frame.name)}`").isNotNull()), frame.name)

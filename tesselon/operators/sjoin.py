@@ -63,6 +63,20 @@ def _box_condition(predicate: str, a: Column, b: Column) -> Column:
     return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
 
 
+def cell_join(left: DataFrame, lbox: str, right: DataFrame, rbox: str, predicate: str, size: float, top: int) -> DataFrame:
+    """Pairs whose boxes allow the relation, each once."""
+    a, b = _cells(left, lbox, size, top), _cells(right, rbox, size, top).withColumnRenamed("_own", "_rown")
+    p, q = F.col(f"`{lbox}`"), F.col(f"`{rbox}`")
+    g = F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
+    met = a.join(b, ["_level", "_cx", "_cy"]).filter(
+        (F.col("_level") == F.greatest("_own", "_rown"))
+        & _box_condition(predicate, p, q)
+        & (F.col("_cx") == F.floor(F.greatest(p["xmin"], q["xmin"]) / g))
+        & (F.col("_cy") == F.floor(F.greatest(p["ymin"], q["ymin"]) / g))
+    )
+    return met.drop("_level", "_cx", "_cy", "_own", "_rown")
+
+
 def sjoin(left: GeoFrame, right: GeoFrame, how: str = "inner", predicate: str = "intersects", lsuffix: str = "left", rsuffix: str = "right", index_right: str | None = None, op: str | None = None) -> GeoFrame:
     """Left rows with the attributes of each right row they relate to; the left geometry is kept.
 
@@ -98,17 +112,8 @@ def sjoin(left: GeoFrame, right: GeoFrame, how: str = "inner", predicate: str =
     if sized is None:
         found = l.limit(0).crossJoin(r.limit(0))
     else:
-        size, top = sized
-        a, b = _cells(l, lb, size, top), _cells(r, "_rb", size, top).withColumnRenamed("_own", "_rown")
         p, q = F.col(f"`{lb}`"), F.col("_rb")
-        g = F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
-        joined = a.join(b, ["_level", "_cx", "_cy"])
-        joined = joined.filter(
-            (F.col("_level") == F.greatest("_own", "_rown"))
-            & _box_condition(predicate, p, q)
-            & (F.col("_cx") == F.floor(F.greatest(p["xmin"], q["xmin"]) / g))
-            & (F.col("_cy") == F.floor(F.greatest(p["ymin"], q["ymin"]) / g))
-        )
+        joined = cell_join(l, lb, r, "_rb", predicate, *sized)
         types = [f.meta.get("types") for f in (left, right)]
         exact = box_predicate(predicate, p, types[0] == ["Point"], q, types[1] == ["Point"]) if all(t in (["Point"], ["Box"]) for t in types) else None
         found = joined.filter(st.predicates[predicate](F.col(f"`{lg}`"), F.col("_rg")) if exact is None else exact)
@@ -144,7 +149,7 @@ def sjoin_nearest(left: GeoFrame, right: GeoFrame, k: int = 1, max_distance: flo
             limit = radius if max_distance is None else min(radius, max_distance)
             b = F.col("_lb")
             wide = todo.withColumn("_wide", F.struct(*[(b[c] + F.lit(s * limit)).alias(c) for c, s in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1))]))
-            hits = _cell_pairs(wide, "_wide", right_rows, "_rb", limit)
+            hits = cell_join(wide, "_wide", right_rows, "_rb", "intersects", *(grid(wide, "_wide", right_rows, "_rb") or (limit, 0)))
             hits = hits.select("left_id", "right_id", st.distance("_lg", "_rg").alias("distance")).filter(F.col("distance") <= limit)
             rank = F.row_number().over(Window.partitionBy("left_id").orderBy("distance", "right_id"))
             best = fixed(hits.withColumn("_r", rank).filter(F.col("_r") <= want))
@@ -156,18 +161,3 @@ def sjoin_nearest(left: GeoFrame, right: GeoFrame, k: int = 1, max_distance: flo
                 break
             radius *= 2
     return done.withColumnRenamed("distance", distance_col)
-
-
-def _cell_pairs(left: DataFrame, lbox: str, right: DataFrame, rbox: str, radius: float) -> DataFrame:
-    """Pairs whose boxes meet, by the grid of ``sjoin``."""
-    size, top = grid(left, lbox, right, rbox) or (max(radius, 1e-9), 0)
-    a, b = _cells(left, lbox, size, top), _cells(right, rbox, size, top).withColumnRenamed("_own", "_rown")
-    p, q = F.col(lbox), F.col(rbox)
-    g = F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
-    met = a.join(b, ["_level", "_cx", "_cy"]).filter(
-        (F.col("_level") == F.greatest("_own", "_rown"))
-        & _box_condition("intersects", p, q)
-        & (F.col("_cx") == F.floor(F.greatest(p["xmin"], q["xmin"]) / g))
-        & (F.col("_cy") == F.floor(F.greatest(p["ymin"], q["ymin"]) / g))
-    )
-    return met.drop("_level", "_cx", "_cy", "_own", "_rown")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import st
 from tesselon.operators.frame import GeoFrame, box_name, points_from_xy
-from tesselon.operators.sjoin import _box_condition, _cells
+from tesselon.operators.sjoin import cell_join
 
 
 def stream_points(stream: DataFrame, x: str, y: str, crs=None) -> GeoFrame:
@@ -23,14 +23,5 @@ def windowed_counts(frame: GeoFrame, time: str, late: str, window: str, keys: li
 def join_static(stream: GeoFrame, static: GeoFrame, size: float, predicate: str = "within", top: int = 0) -> DataFrame:
     """Inner spatial join of a stream with a table on grid cells of a given size."""
     right = static.df.withColumnsRenamed({static.name: "_rg", box_name(static.name): "_rb"})
-    b = box_name(stream.name)
-    a, c = _cells(stream.df, b, size, top), _cells(right, "_rb", size, top).withColumnRenamed("_own", "_rown")
-    p, q = F.col(f"`{b}`"), F.col("_rb")
-    g = F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
-    met = a.join(c, ["_level", "_cx", "_cy"]).filter(
-        (F.col("_level") == F.greatest("_own", "_rown"))
-        & _box_condition(predicate, p, q)
-        & (F.col("_cx") == F.floor(F.greatest(p["xmin"], q["xmin"]) / g))
-        & (F.col("_cy") == F.floor(F.greatest(p["ymin"], q["ymin"]) / g))
-    )
-    return met.filter(st.predicates[predicate](F.col(f"`{stream.name}`"), F.col("_rg"))).drop("_level", "_cx", "_cy", "_own", "_rown", "_rg", "_rb")
+    met = cell_join(stream.df, box_name(stream.name), right, "_rb", predicate, size, top)
+    return met.filter(st.predicates[predicate](stream.geometry, F.col("_rg"))).drop("_rg", "_rb")
