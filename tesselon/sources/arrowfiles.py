@@ -8,15 +8,22 @@ with pyarrow's file systems.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+#: Characters that hive folders hold as they are.
+_PLAIN = " !$&()+,-.;@^_`~"
+
 
 @dataclass
 class Part(WriterCommitMessage):
-    temporary: str | None
+    """Files of one task: (temporary name, hive folder or "")."""
+
+    files: list[tuple[str, str]]
     partition: int
 
 
@@ -29,6 +36,7 @@ def filesystem(path: str):
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.kind, self.geo = options["path"].rstrip("/"), options.get("kind", "parquet"), options["geo"]
+        self.by = json.loads(options.get("by", "[]"))
         self.job = uuid.uuid4().hex
         self.extension = "parquet" if self.kind == "parquet" else "feather"
         fs, root = filesystem(self.path)
@@ -50,48 +58,82 @@ class Writer(DataSourceArrowWriter):
         context = TaskContext.get()
         number = context.partitionId() if context else 0
         fs, root = filesystem(self.path)
-        name = f"{root}/_{self.job}-{number}-{uuid.uuid4().hex}"
         geo = json.loads(self.geo)
+        fresh = lambda: f"{root}/_{self.job}-{number}-{uuid.uuid4().hex}"
         if self.kind == "parquet":
-            # Row groups go out as they come; the boxes are known, and added, at the end.
-            boxes, writer, out = Boxes(geo), None, None
+            # Row groups go out as they come, to a file for each hive folder; the boxes are known, and added, at the end.
+            opened: dict[str, tuple] = {}
             for batch in iterator:
-                if writer is None:
-                    out = fs.open_output_stream(name)
-                    # Without a stored Arrow schema readers take schema metadata from the keys that are added below.
-                    writer = pq.ParquetWriter(out, batch.schema, compression="zstd", store_schema=False)
-                boxes.add(batch)
-                writer.write_batch(batch)
-            if writer is None:
-                return Part(None, number)
-            writer.add_key_value_metadata({"geo": boxes.text()})
-            writer.close()
-            out.close()
-            return Part(name, number)
+                for folder, part in self._split(batch):
+                    if folder not in opened:
+                        name = fresh()
+                        out = fs.open_output_stream(name)
+                        # Without a stored Arrow schema readers take schema metadata from the keys that are added below.
+                        opened[folder] = name, out, pq.ParquetWriter(out, part.schema, compression="zstd", store_schema=False), Boxes(geo)
+                    _, _, writer, boxes = opened[folder]
+                    boxes.add(part)
+                    writer.write_batch(part)
+            for _, out, writer, boxes in opened.values():
+                writer.add_key_value_metadata({"geo": boxes.text()})
+                writer.close()
+                out.close()
+            return Part([(o[0], folder) for folder, o in opened.items()], number)
         # The Arrow file format has its metadata in front, so a partition is held until its boxes are known.
         batches = list(iterator)
         if not batches:
-            return Part(None, number)
-        boxes = Boxes(geo)
+            return Part([], number)
+        name, boxes = fresh(), Boxes(geo)
         for batch in batches:
             boxes.add(batch)
         table = pa.Table.from_batches(batches)
         table = table.replace_schema_metadata({**(table.schema.metadata or {}), b"geo": boxes.text().encode()})
         with fs.open_output_stream(name) as out:
             feather.write_feather(table, out, compression="lz4")
-        return Part(name, number)
+        return Part([(name, "")], number)
+
+    def _split(self, batch):
+        """(hive folder, rows without the folder's columns) of a batch."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.by:
+            yield "", batch
+            return
+        table = pa.Table.from_batches([batch])
+        keys = table.select(self.by).group_by(self.by).aggregate([])
+        rest = [c for c in table.column_names if c not in self.by]
+        for row in keys.to_pylist():
+            mask = None
+            for c, v in row.items():
+                m = pc.is_null(table[c]) if v is None else pc.fill_null(pc.equal(table[c], pa.scalar(v, table[c].type)), False)
+                mask = m if mask is None else pc.and_(mask, m)
+            folder = "".join(f"/{c}={'__HIVE_DEFAULT_PARTITION__' if v is None else quote(str(v), safe=_PLAIN)}" for c, v in row.items())
+            yield folder, table.filter(mask).select(rest).combine_chunks().to_batches()[0]
 
     def commit(self, messages):
         fs, root = filesystem(self.path)
-        written = sorted((m for m in messages if m and m.temporary), key=lambda m: m.partition)
-        for i, m in enumerate(written):
-            fs.move(m.temporary, f"{root}/part.{i}.{self.extension}")
+        count: dict[str, int] = {}
+        for m in sorted((m for m in messages if m), key=lambda m: m.partition):
+            for name, folder in m.files:
+                if folder not in count:
+                    fs.create_dir(root + folder, recursive=True)
+                    count[folder] = self._next(fs, root + folder)
+                fs.move(name, f"{root}{folder}/part.{count[folder]}.{self.extension}")
+                count[folder] += 1
+
+    @staticmethod
+    def _next(fs, folder: str) -> int:
+        """The number after those of the parts that are there already."""
+        import pyarrow.fs as pafs
+
+        names = (re.search(r"/part\.(\d+)\.\w+$", f.path) for f in fs.get_file_info(pafs.FileSelector(folder)))
+        return max((int(m[1]) + 1 for m in names if m), default=0)
 
     def abort(self, messages):
         fs, _ = filesystem(self.path)
         for m in messages:
-            if m and m.temporary:
-                fs.delete_file(m.temporary)
+            for name, _ in m.files if m else ():
+                fs.delete_file(name)
 
 
 class GeoFiles(DataSource):
@@ -106,7 +148,7 @@ class GeoFiles(DataSource):
         return Writer(dict(self.options), overwrite)
 
 
-def write(df, path: str, geo: dict, kind: str, mode: str) -> None:
+def write(df, path: str, geo: dict, kind: str, mode: str, by: list[str] | None = None) -> None:
     spark = df.sparkSession
     spark.dataSource.register(GeoFiles)
-    df.write.format("tesselon-files").mode("overwrite" if mode == "overwrite" else "append").option("path", path).option("kind", kind).option("geo", json.dumps(geo)).save()
+    df.write.format("tesselon-files").mode("overwrite" if mode == "overwrite" else "append").option("path", path).option("kind", kind).option("geo", json.dumps(geo)).option("by", json.dumps(by or [])).save()

@@ -76,7 +76,7 @@ def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str]
 def to_parquet(frame: GeoFrame, path: str, mode: str = "error", partition_on: str | list[str] | None = None, native: bool = False) -> None:
     """One file a partition, with ``geo`` metadata, file boxes and a covering of each row's box.
 
-    ``partition_on`` writes hive folders, one write for each value.  ``native`` uses Spark's writer,
+    ``partition_on`` writes hive folders; a task opens one file for each value it holds.  ``native`` uses Spark's writer,
     which is faster and cannot add the metadata.
     """
     if native:
@@ -84,16 +84,8 @@ def to_parquet(frame: GeoFrame, path: str, mode: str = "error", partition_on: st
         return
     _free(frame.df.sparkSession, path, mode)
     geo = geometa.describe(frame)
-    if not partition_on:
-        arrowfiles.write(frame.df, path, geo, "parquet", mode)
-        return
-    by = [partition_on] if isinstance(partition_on, str) else list(partition_on)
-    for row in frame.df.select(*by).distinct().collect():
-        part, folder = frame.df, path
-        for c in by:
-            part = part.filter(F.col(f"`{c}`").eqNullSafe(F.lit(row[c]))).drop(c)
-            folder += f"/{c}={'__HIVE_DEFAULT_PARTITION__' if row[c] is None else row[c]}"
-        arrowfiles.write(part, folder, geo, "parquet", mode)
+    by = [partition_on] if isinstance(partition_on, str) else list(partition_on or [])
+    arrowfiles.write(frame.df, path, geo, "parquet", mode, by)
 
 
 def _free(spark: SparkSession, path: str, mode: str) -> None:

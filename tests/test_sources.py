@@ -43,6 +43,8 @@ def test_parquet_round_trip(spark, frame, tmp_path):
         frame.to_parquet(path)
     frame.filter("i < 3").to_parquet(path, mode="overwrite")
     assert len(read_parquet(spark, path)) == 3
+    frame.filter("i >= 3").to_parquet(path, mode="append")
+    assert rows(read_parquet(spark, path)) == rows(frame)
 
 
 def test_parquet_hive_missing_and_default_crs(spark, frame, tmp_path):
