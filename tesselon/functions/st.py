@@ -186,7 +186,56 @@ def _named(name: str):
     return lambda a, b: T.predicate(name, a, b)
 
 
-predicates = {n: scalar(_named(n), "boolean", False, 2) for n in PREDICATES}
+# Relations that the location of a point decides, by whether the point is the first or the second geometry.
+_BY_LOCATION = {
+    True: {"within": (T.I,), "covered_by": (T.I, T.B), "intersects": (T.I, T.B), "touches": (T.B,), "disjoint": (T.E,)},
+    False: {"contains": (T.I,), "contains_properly": (T.I,), "covers": (T.I, T.B), "intersects": (T.I, T.B), "touches": (T.B,), "disjoint": (T.E,)},
+}
+_POINT_HEAD = b"\x01\x01\x00\x00\x00"
+
+
+def _by_location(name: str, points: list, areas: list, first: bool, out: list) -> None:
+    """Settles the rows of a batch that hold points against one area, a whole array of points at a time."""
+    import numpy as np
+
+    accept = _BY_LOCATION[first].get(name)
+    if accept is None:
+        return
+    groups: dict[bytes, list[int]] = {}
+    for i, (p, q) in enumerate(zip(points, areas)):
+        if p is not None and q is not None and len(p) == 21 and len(q) > 21 and bytes(p[:5]) == _POINT_HEAD:
+            groups.setdefault(bytes(q), []).append(i)
+    read = _decoder()
+    for wkb, rows in groups.items():
+        if len(rows) < 4:
+            continue
+        g = read(wkb)
+        if g.kind not in (G.POLYGON, G.MULTIPOLYGON) or g.is_empty:
+            continue
+        xy = np.frombuffer(b"".join(bytes(points[i][5:]) for i in rows), "<f8").reshape(-1, 2) + 0.0
+        at = T.locate_many(T.Member(g), xy[:, 0], xy[:, 1])
+        empty = np.isnan(xy[:, 0])
+        for i, v, e in zip(rows, np.isin(at, accept).tolist(), empty.tolist()):
+            out[i] = name == "disjoint" if e else v
+
+
+def _predicate(name: str):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        read = _decoder()
+        out: list = [None] * len(a)
+        left, right = a.tolist(), b.tolist()
+        _by_location(name, left, right, True, out)
+        _by_location(name, right, left, False, out)
+        for i, (p, q) in enumerate(zip(left, right)):
+            if out[i] is None:
+                out[i] = False if p is None or q is None else T.predicate(name, read(p), read(q))
+        return pd.Series(out, dtype=bool)
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return lambda a, b: F.pandas_udf(run, "boolean")(_col(a), _col(b))
+
+
+predicates = {n: _predicate(n) for n in PREDICATES}
 equals_exact = scalar(T.equals_exact, "boolean", False, 2)
 distance = scalar(T.distance, "double", None, 2)
 relate = scalar(T.relate, "string", None, 2)

@@ -89,6 +89,36 @@ class Member:
         return E
 
 
+def locate_many(m: Member, xs, ys):
+    """``Member.locate`` for arrays of points and an input of areas only.
+
+    Points whose side of some edge is within rounding error are located exactly, one by one.
+    """
+    import numpy as np
+
+    odd, doubt = np.zeros(len(xs), bool), np.zeros(len(xs), bool)
+    box = m.box
+    near = (xs >= box[0]) & (xs <= box[2]) & (ys >= box[1]) & (ys <= box[3])
+    at = np.flatnonzero(near)
+    x, y = xs[at], ys[at]
+    o, d = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    for a, b in m.area_edges:
+        lo, hi = (a, b) if a[1] <= b[1] else (b, a)
+        left = (hi[0] - lo[0]) * (y - lo[1])
+        right = (hi[1] - lo[1]) * (x - lo[0])
+        det = left - right
+        unsure = np.abs(det) <= 4e-16 * (np.abs(left) + np.abs(right))
+        d |= unsure & (y >= lo[1]) & (y <= hi[1]) & (x >= min(a[0], b[0])) & (x <= max(a[0], b[0]))
+        if lo[1] != hi[1]:
+            # The edge is to the right of the points that lie on its left side seen upwards.
+            o ^= (y >= lo[1]) & (y < hi[1]) & (det > 0)
+    odd[at], doubt[at] = o, d
+    out = np.where(odd, I, E)
+    for i in np.flatnonzero(doubt).tolist():
+        out[i] = m.locate((float(xs[i]), float(ys[i])))
+    return out
+
+
 def crossing(a, b, c, d):
     """Points at which two segments meet, to be added to each of them: (on ab, on cd)."""
     if max(a[0], b[0]) < min(c[0], d[0]) or max(c[0], d[0]) < min(a[0], b[0]) or max(a[1], b[1]) < min(c[1], d[1]) or max(c[1], d[1]) < min(a[1], b[1]):

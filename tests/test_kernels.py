@@ -116,3 +116,15 @@ def test_lines_measures():
             G.from_wkt(bad)
     with pytest.raises(ValueError):
         G.from_wkb(b"\x01\x01\x00\x00\x00")
+
+
+def test_locating_many_points_equals_one_by_one():
+    import numpy as np
+
+    rnd = random.Random(3)
+    shapes = [G.from_wkt("POLYGON ((0 0, 6 0, 6 6, 3 3, 0 6, 0 0), (1 1, 2 1, 2 2, 1 1))"), G.from_wkt("MULTIPOLYGON (((0 0, 2 0, 2 2, 0 0)), ((3 3, 6 3, 6 6, 3 3)))"), star(rnd, 40, 3, 3, 3)]
+    pts = [(x / 2, y / 2) for x in range(-2, 15) for y in range(-2, 15)] + [(rnd.random() * 6, rnd.random() * 6) for _ in range(300)] + [(0.1 * k, 0.1 * k) for k in range(60)]
+    for g in shapes:
+        m = T.Member(g)
+        got = T.locate_many(m, np.array([p[0] for p in pts]), np.array([p[1] for p in pts]))
+        assert got.tolist() == [m.locate(p) for p in pts]
