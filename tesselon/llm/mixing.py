@@ -107,13 +107,16 @@ def solve_dual(cells: DataFrame, columns: list[str], targets: dict[str, dict[str
     return {names[i]: float(lam[i]) for i in range(len(names))}
 
 
-def mix(rows: DataFrame) -> DataFrame:
-    """row_id, doc_id, source, size, source_size, target, rate, copies, taken for ``rows`` of doc_id, source, text."""
+def mix(rows: DataFrame, row_id: str | None = None) -> DataFrame:
+    """row_id, doc_id, source, size, source_size, target, rate, copies, taken for ``rows`` of doc_id, source, text.
+
+    ``row_id`` names a column that tells all rows apart; without one rows are numbered as they are first written.
+    """
     spark = rows.sparkSession
     scratch = Scratch(spark, "mix")
-    row_id = F.col("row_id") if "row_id" in rows.columns else F.monotonically_increasing_id()
+    identity = F.monotonically_increasing_id() if row_id is None else F.col(f"`{row_id}`")
     base = scratch.write(
-        rows.select(row_id.alias("row_id"), "doc_id", "source", group_key(F.col("source")).alias("g"), word_count(F.col("text")).alias("size")),
+        rows.select(identity.alias("row_id"), "doc_id", "source", group_key(F.col("source")).alias("g"), word_count(F.col("text")).alias("size")),
         "sizes",
     )
     cells = base.groupBy("g").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
@@ -171,6 +174,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "mixed")
     # The rows get an identity of their own, which holds because they are written before it is used.
     rows = scratch.write(docs.select(F.monotonically_increasing_id().alias("_row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "rows")
-    plan = mix(rows.select(F.col("_row_id").alias("row_id"), "_doc.doc_id", "_doc.source", "_doc.text"))
+    plan = mix(rows.select("_row_id", "_doc.doc_id", "_doc.source", "_doc.text"), "_row_id")
     taken = rows.join(plan.filter("copies > 0").select(F.col("row_id").alias("_row_id"), "copies"), "_row_id")
     return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

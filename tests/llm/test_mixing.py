@@ -21,7 +21,7 @@ def test_targets_by_hand():
 
 def test_mix_meets_targets_and_repeats(make_docs):
     texts, sources = corpus()
-    docs = make_docs(texts, sources)
+    docs = make_docs(texts, sources).withColumnRenamed("key", "row_id").withColumnRenamed("score", "rate")
     rows = mix(docs).collect()
     assert len(rows) == len(texts)
     sums, goal, small = {}, {}, {}
