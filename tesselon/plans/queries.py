@@ -531,6 +531,57 @@ def rename_and_set_geometry(spark, d):
     return g.set_geometry("place").df.groupBy("k", "c_nationkey").agg(F.count("*").alias("n"))
 
 
+# What frames inherit from Spark, and row-wise functions
+
+@query(f"SELECT s_suppkey, round((x1 - x0) * (y1 - y0), 6) AS area FROM ({BOXES}) ORDER BY area DESC, s_suppkey LIMIT 10")
+def nlargest_area(spark, d):
+    b = boxes(spark, d)
+    return b.df.select("s_suppkey", F.round(b.area, 6).alias("area")).orderBy(F.desc("area"), "s_suppkey").limit(10)
+
+
+@query(f"SELECT c_mktsegment, c_nationkey, count(*) AS n, round(avg(y), 6) AS north FROM ({POINTS}) GROUP BY CUBE (c_mktsegment, c_nationkey)")
+def cube_counts(spark, d):
+    p = points(spark, d)
+    return p.df.cube("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("geometry__bbox.ymin"), 6).alias("north"))
+
+
+@query(f"SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY y DESC, c_custkey) AS r FROM ({POINTS})) WHERE r <= 2")
+def northernmost_per_nation(spark, d):
+    from pyspark.sql.window import Window
+
+    p = points(spark, d)
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("geometry__bbox.ymin"), "c_custkey")
+    return p.df.withColumn("r", F.row_number().over(w)).filter("r <= 2").select("c_nationkey", "c_custkey")
+
+
+@query(f"SELECT p_partkey, 4 AS vertices FROM ({TRIANGLES}) WHERE p_partkey % 4 = 0")
+def apply_function(spark, d):
+    t = triangles(spark, d).filter("p_partkey % 4 = 0")
+    return t.df.select("p_partkey", t.apply(lambda g: len(g.coords()), "int").alias("vertices"))
+
+
+@query(
+    f"SELECT coalesce(c_custkey, s_suppkey) AS id, coalesce(x >= x0 AND x <= x1 AND y >= y0 AND y <= y1, false) AS hit FROM ({POINTS}) p FULL OUTER JOIN ({BOXES}) q ON c_custkey = s_suppkey WHERE coalesce(c_custkey, s_suppkey) < 300"
+)
+def aligned_intersects(spark, d):
+    p = points(spark, d).rename({"c_custkey": "__row_id"}).filter("__row_id < 300")
+    b = boxes(spark, d).rename({"s_suppkey": "__row_id"}).filter("__row_id < 300")
+    both = p.align(b)
+    return both.df.select(F.col("__row_id").alias("id"), st.predicates["intersects"]("geometry", "geometry_other").alias("hit"))
+
+
+@query(
+    f"SELECT n_nationkey, s_suppkey FROM (SELECT n_nationkey, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY (p.x0 - q.x0) * (p.x0 - q.x0) + (p.y0 - q.y0) * (p.y0 - q.y0), s_suppkey) AS r "
+    f"FROM ({GRID_B}) p, ({GRID_A}) q) WHERE r <= 2"
+)
+def nearest_join(spark, d):
+    from tesselon.operators.sjoin import sjoin_nearest
+
+    a = points_from_xy(_sql(spark, d, GRID_B, "nation").withColumnRenamed("n_nationkey", "__row_id"), "x0", "y0")
+    b = points_from_xy(_sql(spark, d, GRID_A, "supplier").withColumnRenamed("s_suppkey", "__row_id"), "x0", "y0")
+    return sjoin_nearest(a, b, k=2).selectExpr("left_id AS n_nationkey", "right_id AS s_suppkey")
+
+
 # Files: written to the shared folder, read again
 
 def _shared(spark: SparkSession) -> str:
