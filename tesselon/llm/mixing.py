@@ -175,5 +175,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # The rows get an identity of their own, which holds because they are written before it is used.
     rows = scratch.write(docs.select(F.monotonically_increasing_id().alias("_row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "rows")
     plan = mix(rows.select("_row_id", "_doc.doc_id", "_doc.source", "_doc.text"), "_row_id")
-    taken = rows.join(plan.filter("copies > 0").select(F.col("row_id").alias("_row_id"), "copies"), "_row_id")
+    # One plan at every size: texts move once, to the copies of their row.
+    copies = plan.filter("copies > 0").select(F.col("row_id").alias("_row_id"), "copies")
+    taken = rows.join(copies.hint("merge"), "_row_id")
     return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
