@@ -168,7 +168,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     large = large.join(scratch.write(sets, "sets"), "node")
     both = F.size(F.array_intersect("p.items", "q.items"))
     linked = F.lit(100) * both >= F.lit(PERCENT) * (F.size("p.items") + F.size("q.items") - both)
-    links = scratch.write(links.unionByName(found).unionByName(_across(large, linked)).distinct(), "links2")
+    # The components found so far are stars; only what joins them is new.
+    known = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    links = scratch.write(known.unionByName(found).unionByName(_across(large, linked)), "links2")
     comp = comp_table = scratch.write(connected_components(links, scratch, "cc2"), "labels2")
 
     scratch.keep_only(feats, nodes, comp_table)
