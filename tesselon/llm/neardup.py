@@ -165,12 +165,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     large = rest.filter(F.col("m") > SMALL_BUCKET)
     wanted = large.select(F.col("node").alias("doc_id")).distinct()
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_hash_sets, "node long, items array<long>").dropDuplicates(["node"])
-    large = large.join(scratch.write(sets, "sets"), "node")
+    large = large.join(scratch.write(sets, "sets"), "node").join(nodes.select("node", "bands"), "node")
+    large = large.withColumn("head", F.slice("bands", 1, (F.array_position("bands", F.col("bucket")) - 1).cast("int"))).drop("bands")
     both = F.size(F.array_intersect("p.items", "q.items"))
     linked = F.lit(100) * both >= F.lit(PERCENT) * (F.size("p.items") + F.size("q.items") - both)
     # The components found so far are stars; only what joins them is new.
     known = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    links = scratch.write(known.unionByName(found).unionByName(_across(large, linked)), "links2")
+    # A pair is compared in the first bucket that it shares.
+    first = ~F.arrays_overlap("p.head", "q.head")
+    links = scratch.write(known.unionByName(found).unionByName(_across(large, first & linked)), "links2")
     comp = comp_table = scratch.write(connected_components(links, scratch, "cc2"), "labels2")
 
     scratch.keep_only(feats, nodes, comp_table)
