@@ -11,6 +11,7 @@ DATA = os.environ.get("TESSELON_TEST_DATA", "/root/testdata/sf0.001")
 #: Query, and the key condition that its result must not depend on.
 SUBSETS = {
     "buffer_points": " WHERE c_custkey % 10 = 0",
+    "explode_multipoint": " WHERE c_custkey % 5 = 0",
     "interpolate": " WHERE o_orderkey % 7 = 0",
     "lines_simple_and_rings": " WHERE o_orderkey % 7 = 0",
     "project": " WHERE o_orderkey % 7 = 0",
