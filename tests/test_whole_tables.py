@@ -10,6 +10,7 @@ from tesselon.plans.queries import oracle_sql, queries
 DATA = os.environ.get("TESSELON_TEST_DATA", "/root/testdata/sf0.001")
 #: Query, and the key condition that its result must not depend on.
 SUBSETS = {
+    "apply_function": " WHERE p_partkey % 4 = 0",
     "buffer_points": " WHERE c_custkey % 10 = 0",
     "explode_multipoint": " WHERE c_custkey % 5 = 0",
     "interpolate": " WHERE o_orderkey % 7 = 0",
