@@ -81,3 +81,13 @@ def test_model_and_empty_table(make_docs):
     assert personal_data(none).count() == 0 and redact(none).count() == 0
     plan = personal_data(docs, m)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_long_secrets_and_ibans_of_any_length_are_found(make_docs):
+    jwt = "eyJ0" + "aB3.x_9-" * 60
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "AT611904300234573201"]
+    texts = [f'api token = "{jwt}" here'] + [f"pay to iban {x} IN time" for x in ibans]
+    got = {r.doc_id: r.spans for r in personal_data(make_docs(texts)).collect()}
+    assert f"secret:13:{13 + len(jwt)}" in got[0].split(",")
+    assert [got[i + 1].split(",")[-1] for i in range(len(ibans))] == [f"iban:12:{12 + len(x)}" for x in ibans]
+    assert jwt not in redact(make_docs(texts[:1])).first().text
