@@ -9,7 +9,8 @@ them with probability below 1e-6.  A window without any shingle of any template
 to all of them, can share no band, and is not sketched.
 
 A retrieved template matches if at least ``PERCENT`` of its distinct shingles stand in the window;
-matches of one template in touching windows are one match, reported by its position in code points.
+each occurrence in a window is a match of its own, and what touching windows show of one occurrence is
+one match, reported by its position in code points.
 
 Defined results.  Null, empty and short texts have no match.  Repeated rows each get a row.  An empty
 table gives an empty result.  Only ``doc_id`` and ``text`` are read.
@@ -17,6 +18,8 @@ table gives an empty result.  Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -71,14 +74,16 @@ class Scanner:
         from tesselon.llm import shingles as S
 
         self.S, self.bands, self.percent = S, bands, percent
-        self.names, self.sets, self.classes = [], [], {}
+        self.names, self.sets, self.often, self.classes = [], [], [], {}
         for name, text in sorted(templates):
             w = S.word_hashes([_clean(text)])[0]
             if len(w) < SHINGLE:
                 raise ValueError(f"template {name!r} has fewer than {SHINGLE} words")
             i = len(self.names)
             self.names.append(name)
-            self.sets.append(np.unique(S.window_hashes(w, SHINGLE)))
+            runs = S.window_hashes(w, SHINGLE)[: len(w) - SHINGLE + 1]
+            self.sets.append(np.unique(runs))
+            self.often.append(Counter(runs.tolist()))
             # Room for words put into an occurrence.
             need = max(4, len(w) * 100 // percent)
             self.classes.setdefault((need - 1).bit_length(), []).append(i)
@@ -93,6 +98,45 @@ class Scanner:
     def sketch(self, items):
         return self.S.mix64(items[None, :] ^ self.seeds[:, None]).min(1)
 
+    def occurrences(self, i: int, at: list[int], items: list[int]) -> list[tuple[int, int, float]]:
+        """Stretches (start, end, containment) that each hold enough of template ``i``; ``at`` are the positions of its shingles."""
+        out, most, size = [], self.often[i], len(self.sets[i])
+        k, left, held = 0, 0, Counter()
+        while k < len(at):
+            held[items[k]] += 1
+            k += 1
+            if 100 * len(held) < self.percent * size:
+                continue
+            # The rest of the occurrence: shingles that it lacks, or that follow without a gap.
+            while k < len(at) and (held[items[k]] < most[items[k]] or at[k] == at[k - 1] + 1):
+                held[items[k]] += 1
+                k += 1
+            while held[items[left]] > most[items[left]]:
+                held[items[left]] -= 1
+                left += 1
+            out.append((at[left], at[k - 1] + SHINGLE, sum(n > 0 for n in held.values()) / size))
+            left, held = k, Counter()
+        return out
+
+    @staticmethod
+    def apart(spans: list[tuple[int, int, float]]) -> list[list]:
+        """The fullest and shortest spans that do not overlap; another that overlaps only one of them widens it."""
+        kept: list[list] = []
+        rest = []
+        for s, e, share in sorted(set(spans), key=lambda x: (-x[2], x[1] - x[0], x[0])):
+            met = bisect_right(kept, s, key=lambda x: x[0])
+            if (met and kept[met - 1][1] > s) or (met < len(kept) and kept[met][0] < e):
+                rest.append((s, e))
+            else:
+                kept.insert(met, [s, e, share])
+        wide = [list(x) for x in kept]
+        for s, e in rest:
+            j = max(bisect_right(kept, s, key=lambda x: x[0]) - 1, 0)
+            met = [m for m in range(j, min(j + 3, len(kept))) if kept[m][0] < e and s < kept[m][1]]
+            if len(met) == 1:
+                wide[met[0]][:2] = min(wide[met[0]][0], s), max(wide[met[0]][1], e)
+        return wide
+
     def scan(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
         """Per text: (template, start, end, containment) in code points, by start."""
         import numpy as np
@@ -121,19 +165,12 @@ class Scanner:
                     wanted = {i for b, v in enumerate(self.sketch(items).tolist()) for i in self.buckets.get((c, b, v), ())}
                     for i in wanted:
                         inside = np.flatnonzero(np.isin(window, self.sets[i]))
-                        share = len(np.unique(window[inside])) / len(self.sets[i])
-                        if 100 * share >= self.percent:
-                            found.setdefault(i, []).append((lo + int(inside[0]), lo + int(inside[-1]) + SHINGLE, share))
+                        for s, e, share in self.occurrences(i, inside.tolist(), window[inside].tolist()):
+                            found.setdefault(i, []).append((lo + s, lo + e, share))
             rows = []
             raw = clean[k].encode()
             for i, spans in found.items():
-                merged: list[list] = []
-                for s, e, share in sorted(spans):
-                    if merged and s < merged[-1][1]:
-                        merged[-1][1], merged[-1][2] = max(merged[-1][1], e), max(merged[-1][2], share)
-                    else:
-                        merged.append([s, e, share])
-                for s, e, share in merged:
+                for s, e, share in self.apart(spans):
                     points = [len(raw[: int(p) - int(base[k])].decode()) for p in (begin[a + s], end[a + e - 1])]
                     rows.append((self.names[i], *points, share))
             out.append(sorted(rows, key=lambda r: (r[1], r[0])))

@@ -53,3 +53,19 @@ def test_positions_and_repeats(make_docs):
     r = scan_licenses(make_docs([t])).collect()[0]
     assert [(m.license, t[m.start : m.end]) for m in r.matches] == [("mit", TEMPLATES["mit"][:-1])] * 2
     assert scan_licenses(make_docs(["x"]).filter("doc_id < 0")).count() == 0
+
+
+def test_occurrences_side_by_side_are_counted_apart(make_docs):
+    cases = {"mit": [1, 2, 3, 7], "gpl-3.0-notice": [1, 2, 3, 5], "apache-2.0-notice": [2, 4]}
+    texts, want = [], []
+    for name, counts in cases.items():
+        for n in counts:
+            for gap in (" ", " x y z ", " lorem ipsum dolor sit amet consectetur adipiscing "):
+                for before in ("", "one two three "):
+                    t = before + gap.join([TEMPLATES[name]] * n)
+                    size, step = len(TEMPLATES[name].rstrip(".")), len(TEMPLATES[name]) + len(gap)
+                    texts.append(t)
+                    want.append((name, [(len(before) + k * step, len(before) + k * step + size) for k in range(n)]))
+    for r in scan_licenses(make_docs(texts)).collect():
+        name, spans = want[r.doc_id]
+        assert [(m.start, m.end) for m in r.matches if m.license == name] == spans, texts[r.doc_id]
