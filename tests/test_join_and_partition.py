@@ -94,6 +94,16 @@ def test_curves(spark):
         p.geohash(as_string=False, precision=13)
 
 
+@pytest.mark.parametrize("level", [1, 2, 3, 5, 6])
+def test_hilbert_visits_each_cell_and_goes_to_a_neighbour(spark, level):
+    n = 2**level
+    df = spark.range(n * n).select(F.expr(f"id % {n}").cast("double").alias("x"), F.expr(f"id div {n}").cast("double").alias("y"))
+    rows = points_from_xy(df).hilbert_distance((0, 0, n - 1, n - 1), level=level, name="h").df.select("h", "x", "y").collect()
+    at = {r.h: (r.x, r.y) for r in rows}
+    assert sorted(at) == list(range(n * n)) and at[0] == (0, 0) and at[n * n - 1] == (n - 1, 0)
+    assert all(abs(at[h][0] - at[h + 1][0]) + abs(at[h][1] - at[h + 1][1]) == 1 for h in range(n * n - 1))
+
+
 def test_spatial_shuffle(spark):
     rnd = random.Random(2)
     p = points_from_xy(spark.createDataFrame([(i, rnd.random(), rnd.random()) for i in range(500)], "i int, x double, y double"))
