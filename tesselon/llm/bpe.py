@@ -34,7 +34,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import batch_rows
+from tesselon.llm.common import bounded_batches
 
 #: Characters buffered before stable tokens are emitted.
 BLOCK = 8192
@@ -186,7 +186,7 @@ def _chunks(text: str, block: int):
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, block: int = BLOCK) -> DataFrame:
     """doc_id and the ids of each whole text."""
-    batch_rows(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -202,7 +202,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, block: int = BLOCK) -
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and the text of each list of ids; null ids give the empty text."""
-    batch_rows(encoded.sparkSession, 256)
+    bounded_batches(encoded.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -218,7 +218,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def roundtrip_digests(docs: DataFrame, tokenizer_path: str, block: int = BLOCK) -> DataFrame:
     """Encodes each whole text, decodes the ids again, and keeps count and digests: no shuffle, nothing held but a block."""
-    batch_rows(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

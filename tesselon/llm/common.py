@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_base(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) is a folder of this machine used.
+    Only a local master (tests) may leave it unset and gets a folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark.sparkContext, "_tesselon_scratch", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="tesselon-")
@@ -48,12 +50,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 class Scratch:
     """Tables of one run in the shared folder.  They replace lineage, so a lost executor costs only a reread."""
 
@@ -108,6 +104,11 @@ def pieces(text: str, size: int = PIECE):
     yield text[at:]
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch, and with them a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows and bytes of an Arrow batch, and with them what a Python worker holds.  One value for all operators: results are
+#: lazy, so a setting of one operator would reach the frames of another that have not run yet.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -28,7 +28,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import Scratch, batch_rows, crc_mod, pieces
+from tesselon.llm.common import Scratch, bounded_batches, crc_mod, pieces
 
 TOP_WORDS = 131_072
 SYMBOLS = 8_192
@@ -298,7 +298,7 @@ def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     spark = docs.sparkSession
     sc = spark.sparkContext
     scratch = Scratch(spark, "hmm")
-    batch_rows(spark, 512)
+    bounded_batches(spark)
     held = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     train_docs = docs.filter(~held)
@@ -331,7 +331,7 @@ def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
         unigram[voc.symbols + k] = 10 ** voc.log_z[k]
     unigram[voc.end] += n_docs
     unigram /= unigram.sum()
-    batch_rows(spark, 1024)
+    bounded_batches(spark)
     model, _ = train(encoded.filter(~held), voc.size, unigram, states, rounds)
     run, schema = _forward(sc.broadcast(model), kind)
     scored = encoded.select("rid", "doc_id", "n_tokens", "known", "base", "inner", "z", "sym").mapInArrow(run, schema)

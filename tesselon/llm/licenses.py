@@ -25,7 +25,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import batch_rows
+from tesselon.llm.common import bounded_batches
 
 SHINGLE = 3
 BANDS = 64
@@ -184,7 +184,7 @@ def scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id and matches (license, start, end, containment) for every row of ``docs``."""
-    batch_rows(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession)
     listed = tuple(sorted((templates or TEMPLATES).items()))
 
     def run(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesselon.llm.common import Scratch, batch_rows
+from tesselon.llm.common import Scratch, bounded_batches
 from tesselon.llm.components import connected_components
 
 SHINGLE = 5
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "neardup")
-    batch_rows(spark, 256)
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = scratch.write(docs.mapInArrow(_features, _FEATURES), "features")
 

@@ -27,7 +27,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import Scratch, batch_rows, crc_mod, pieces
+from tesselon.llm.common import Scratch, bounded_batches, crc_mod, pieces
 
 MAX_LABELLED = 40_000
 MAX_TERMS = 4_096
@@ -267,7 +267,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    batch_rows(spark, 512)
+    bounded_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
 
