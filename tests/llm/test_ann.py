@@ -19,13 +19,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score string, rank string")
 
 
-def test_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD_ROWS", 700)
+def test_recall_and_exact_scores(spark):
     rnd = np.random.default_rng(1)
     centres = rnd.normal(size=(20, 32))
     v = (centres[rnd.integers(0, 20, 3000)] + rnd.normal(size=(3000, 32))).astype(np.float32)
     t = frame(spark, [(i, x.tolist(), 0, "s", "r") for i, x in enumerate(v)])
-    got = ann.nearest(t, t.filter("vec_id % 50 = 0"), 5).collect()
+    got = ann.nearest(t, t.filter("vec_id % 50 = 0"), 5, shard_rows=700).collect()
     want = brute(range(3000), v, range(0, 3000, 50), 5)
     hit = 0
     for r in got:
@@ -49,3 +48,40 @@ def test_common_vector_odd_rows_and_few_candidates(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {0: [1, 2, 3, 4, 5], 350: [0, 1, 2, 3, 4], 400: [450], 450: [400]}
     assert ann.nearest(t.filter("vec_id < 0"), t.filter("vec_id < 0"), 5).count() == 0
+
+
+def test_recall_where_directions_are_spread():
+    """Isotropic vectors, the hardest case for a graph: a shard as large as the default, against all its rows."""
+    rnd = np.random.default_rng(2)
+    x = ann._unit(rnd.normal(size=(8000, 64)))
+    graph, entry = ann.build_graph(x)
+    assert graph.shape == (8001, ann.SLACK * ann.DEGREE) and (graph[-1] == -1).all()
+    q = x[::80]
+    found, _ = ann.beam_search(x, graph, entry, q, ann.QUERY_BEAM)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :6]
+    assert np.mean([len(set(f.tolist()) & set(w.tolist())) / 6 for f, w in zip(found, want)]) >= 0.95
+
+
+def test_a_split_search_finds_the_same(monkeypatch):
+    rnd = np.random.default_rng(3)
+    x = ann._unit(rnd.normal(size=(500, 8)))
+    graph, entry = ann.build_graph(x)
+    whole = ann.beam_search(x, graph, entry, x[:40], 20)
+    monkeypatch.setattr(ann, "MARKS", 3000)
+    parts = ann.beam_search(x, graph, entry, x[:40], 20)
+    assert (np.sort(whole[0], 1) == np.sort(parts[0], 1)).all()
+
+
+def test_pruning_keeps_diverse_neighbours():
+    """Against the rule applied one candidate at a time."""
+    rnd = np.random.default_rng(4)
+    x = ann._unit(rnd.normal(size=(60, 6)))
+    points, cand = np.arange(10), np.tile(np.arange(60), (10, 1)).astype(np.int32)
+    got = ann.robust_prune(x, points, cand, 7, 1.2)
+    gap = lambda a, b: 2 - 2 * float(x[a] @ x[b])
+    for p in range(10):
+        kept = []
+        for c in sorted((c for c in range(60) if c != p), key=lambda c: gap(p, c)):
+            if len(kept) < 7 and all(1.44 * gap(k, c) > gap(p, c) for k in kept):
+                kept.append(c)
+        assert [c for c in got[p].tolist() if c >= 0] == kept
