@@ -1,6 +1,9 @@
 import random
+from fractions import Fraction
 
-from tesselon.llm.mixing import capped_targets, mix, mixed_documents, solve_dual
+from tesselon.llm import mixing
+from tesselon.llm.common import Scratch
+from tesselon.llm.mixing import mix, mixed_documents, numbered, solve_dual, targeted, tilted_sources
 
 
 def corpus():
@@ -13,10 +16,35 @@ def corpus():
     return texts + [None, "", "  "], sources + ["a", "b", "empty"]
 
 
-def test_targets_by_hand():
-    t = capped_targets({"a": 100, "b": 10, "c": 100})
-    assert t["b"] == 30 and abs(t["a"] - 180 / 4) < 1e-9 and abs(t["c"] - 540 / 4) < 1e-9
-    assert capped_targets({}) == {} and capped_targets({"a": 0}) == {"a": 0.0}
+def capped_targets(sizes, cap=3):
+    """The rule of the targets, one source at a time in exact fractions."""
+    weight = {k: i % 3 + 1 for i, k in enumerate(sorted(sizes))}
+    left, out, open_ = Fraction(sum(sizes.values())), {}, set(sizes)
+    while open_:
+        total = sum(weight[k] for k in open_)
+        above = {k for k in open_ if left * weight[k] / total > cap * sizes[k]}
+        if not above:
+            return out | {k: left * weight[k] / total for k in open_}
+        out |= {k: Fraction(cap * sizes[k]) for k in above}
+        left, open_ = left - sum(cap * sizes[k] for k in above), open_ - above
+    return out
+
+
+def test_targets_and_rates(spark):
+    rnd = random.Random(5)
+    cases = [{"a": 100, "b": 10, "c": 100}, {"a": 0}, {"a": 7}, {"a": 0, "b": 1, "c": 10**12}, {f"s{i:03d}": rnd.choice([0, 1, 5, 10**6, 10**9]) for i in range(200)}]
+    for sizes in cases:
+        t = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(sorted(sizes.items()))], "g string, size long, rank long")
+        want = capped_targets(sizes)
+        for r in tilted_sources(targeted(t)).collect():
+            assert abs(r.target - want[r.g]) <= 1e-9 * max(1, want[r.g]) and abs(r.rate * r["size"] - r.target) <= 1e-6 * max(1, r.target)
+
+
+def test_ranks_follow_the_order_of_sources(spark, tmp_path):
+    names = ["w"] + ["v" + x for x in ["", "a", "B", "é", "\U0001f600", "\uffff", "z"] + [f"s{i}" for i in range(300)]]
+    df = spark.createDataFrame([(n,) for n in names], "g string").repartition(5)
+    got = {r.g: r["rank"] for r in numbered(df, Scratch(spark, "t")).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names))}
 
 
 def test_mix_meets_targets_and_repeats(make_docs):
@@ -60,3 +88,58 @@ def test_documents_are_repeated(make_docs):
         n[r.doc_id] = n.get(r.doc_id, 0) + 1
     assert max(n.values()) <= 3
     assert mixed_documents(docs.filter("doc_id < 0")).count() == 0
+
+
+def test_the_mix_does_not_depend_on_how_rows_lie(make_docs, monkeypatch):
+    texts, sources = corpus()
+    texts, sources = texts * 2, sources * 2
+    seen = []
+    for k, (parts, order) in enumerate(((1, 1), (3, -1), (7, 1))):
+        monkeypatch.setattr(mixing, "SLICE_ROWS", (20_000, 3, 3)[k])
+        docs = make_docs(texts[::order], sources[::order], list(range(len(texts) // 2)) * 2 if order > 0 else (list(range(len(texts) // 2)) * 2)[::-1], partitions=parts)
+        seen.append(sorted((r.doc_id, r.taken) for r in mix(docs).collect()))
+        if k:
+            seen.append(seen[0])
+            again = sorted((r.doc_id, r.text or "") for r in mixed_documents(docs).collect())
+            assert k == 1 or again == first
+            first = again
+    assert all(x == seen[0] for x in seen)
+
+
+def test_against_one_document_at_a_time(make_docs):
+    """Systematic sampling by a loop over the documents of each source, then the best single cell, as often as it helps."""
+    texts, sources = corpus()
+    got = {}
+    for r in mix(make_docs(texts, sources)).collect():
+        got.setdefault(r.source, []).append((r["size"], r.copies, r.target, r.rate))
+    for rows in got.values():
+        target, rate = rows[0][2:]
+        part, whole = rate - int(rate), int(rate)
+        take, k = {}, 0
+        for size, *_ in sorted(rows, key=lambda r: -r[0]):
+            k += 1
+            take[size] = take.get(size, 0) + int(k * part + 0.5) - int((k - 1) * part + 0.5)
+        n = {s: sum(r[0] == s for r in rows) for s in take}
+        while True:
+            gap = target - sum(s * (n[s] * whole + take[s]) for s in n)
+            options = []
+            for s in n:
+                room = take[s] if gap < 0 else n[s] - take[s] if whole < 3 else 0
+                for m in range(1, room + 1 if s and abs(gap) > 0.5 else 1):
+                    if abs(abs(gap) - m * s) < abs(gap) - 1e-6:
+                        options.append((abs(abs(gap) - m * s), -s, m))
+            if not options:
+                break
+            _, s, m = min(options)
+            take[-s] += m if gap > 0 else -m
+        for s in n:
+            assert sorted(c for z, c, *_ in rows if z == s) == [whole] * (n[s] - take[s]) + [whole + 1] * take[s]
+
+
+def test_odd_rows(make_docs, spark):
+    """Null and empty texts, a null source, a very long text, no rows."""
+    long = "word " * 300_000
+    docs = make_docs([None, "", "a b", long, "c"], [None, "x", "x", "y", None])
+    got = {r.doc_id: (r["size"], r.taken) for r in mix(docs).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: 0, 1: 0, 2: 2, 3: 300_000, 4: 1} and got[0][1] == got[1][1] == 0
+    assert mix(docs.filter("doc_id < 0")).count() == 0
