@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from tesselon.llm.common import Scratch
 
-MAX_ROUNDS = 100
-
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, comp) with comp the least node reachable, for every node on an edge ``(a, b)``; loops are ignored."""
-    e = scratch.write(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges"
-    )
+    e = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), f"{name}-edges")
     mark = _mark(e)
-    for _ in range(MAX_ROUNDS):
+    while mark[0]:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -34,8 +30,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         mark = _mark(e)
         if mark == old:
             break
-    else:
-        raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 

@@ -5,25 +5,27 @@
    class representatives go on.
 2. Documents that share a band key are candidates.  In each bucket every member is paired with a few
    centres; each node verifies its nearest centres on full sets, and links are joined into components.
-3. Buckets that still hold several components compare members of different ones.  In buckets of up to
-   ``SMALL_BUCKET`` members the pairs that may link are verified as rows, at most a constant number a
-   member.  In larger ones the sets of hashes travel with the members and are intersected inside the
-   join, which gives out links only.  Pairs within a component are never made, so a group of copies
-   costs a star, not its square.
+3. In buckets that still hold several components the members outside the largest one meet the others,
+   and their sets are intersected inside the join, which gives out links only.  A pair is compared in the
+   first bucket that it shares.  Pairs within the largest component are never tried, so a group of copies
+   costs a star, not its square; hot buckets are split by adaptive skew handling.
 
-With 36 bands of 7 coordinates a pair at similarity 0.85 shares no band with probability 1e-6.  A
-candidate is passed over only when its signatures are over 6 standard deviations from what 0.85
-gives or its set sizes rule the link out.  Verification compares complete sets.
+Bands are as selective as leaves a pair at the threshold without a common band with probability
+``MISS`` at most.  A candidate is passed over only when its signatures are over 6 standard deviations
+from what the threshold gives or its set sizes rule the link out.  Verification compares complete sets.
 
 Defined results.  Null, empty and blank texts have no shingles, are linked with nothing and kept.
-Rows with a null ``doc_id`` have no identity to report: they link nothing, their component is null
-and they are kept.  Repeated rows each get a row.  Columns beyond ``doc_id`` and ``text`` are not read.
+Very long texts take part whole.  Rows with a null ``doc_id`` have no identity to report: they link
+nothing, their component is null and they are kept.  Repeated rows each get a row; texts that share a
+``doc_id`` are one node, which is linked as each of them is.  An empty table gives an empty result.
+Columns beyond ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,18 +36,21 @@ from tesselon.llm.components import connected_components
 
 SHINGLE = 5
 COORDINATES = 256
-BANDS, ROWS = 36, 7
-PERCENT = 85
+MISS = 3e-6
 SIGMAS = 6.0
 #: Centres that each node verifies first.
 NEAREST = 3
-#: Members up to which a bucket's remaining pairs are made as rows.
-SMALL_BUCKET = 32
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands that miss a pair at the threshold with probability ``MISS`` at most."""
+    return next((COORDINATES // r, r) for r in range(COORDINATES, 0, -1) if (1 - (percent / 100) ** r) ** (COORDINATES // r) <= MISS)
+
 
 _FEATURES = "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
-def _features(batches):
+def _features(batches, percent: int):
     import numpy as np
     import pyarrow as pa
 
@@ -55,7 +60,7 @@ def _features(batches):
         sets = S.shingle_sets(b.column("text").to_pylist(), SHINGLE)
         has = [i for i, s in enumerate(sets) if len(s)]
         sketch = S.similarity_sketches([sets[i] for i in has], COORDINATES)
-        keys, sig = S.band_keys(sketch, BANDS, ROWS).view(np.int64), S.signature(sketch)
+        keys, sig = S.band_keys(sketch, *banding(percent)).view(np.int64), S.signature(sketch)
         digest: list = [None] * len(sets)
         bands: list = [None] * len(sets)
         words = np.zeros((len(sets), COORDINATES // 64), np.int64)
@@ -71,23 +76,6 @@ def _features(batches):
         )
 
 
-def _verify(batches):
-    import pyarrow as pa
-
-    from tesselon.llm import shingles as S
-
-    for b in batches:
-        texts = {}
-        for side in ("a", "b"):
-            for key, text in zip(b.column(side).to_pylist(), b.column(f"text_{side}").to_pylist(), strict=True):
-                texts.setdefault((key, text), None)
-        for key, s in zip(texts, S.shingle_sets([k[1] for k in texts], SHINGLE), strict=True):
-            texts[key] = s
-        cols = [b.column(x).to_pylist() for x in ("a", "text_a", "b", "text_b")]
-        ok = [S.similar(texts[a, ta], texts[c, tc], PERCENT) for a, ta, c, tc in zip(*cols, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
 def _hash_sets(batches):
     import numpy as np
     import pyarrow as pa
@@ -96,39 +84,32 @@ def _hash_sets(batches):
 
     for b in batches:
         sets = [x.view(np.int64) for x in S.shingle_sets(b.column("text").to_pylist(), SHINGLE)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
+        digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "digest", "items"])
+
+
+def _apart(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(4)), F.lit(0))
 
 
-def _may_link(a: str, b: str) -> Column:
+def _may_link(a: str, b: str, percent: int) -> Column:
     """Signature and size test on two sides whose columns are prefixed."""
-    p = (1 - PERCENT / 100) / 2
+    p = (1 - percent / 100) / 2
     most = COORDINATES * p + SIGMAS * math.sqrt(COORDINATES * p * (1 - p))
-    apart = sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(4)), F.lit(0))
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (apart <= int(most)) & (F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m))
-
-
-def _apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(4)), F.lit(0)).alias("apart")
+    return (_apart(a, b) <= int(most)) & (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
 
 
 SIG = ["n", "s0", "s1", "s2", "s3"]
 
 
-def _across(rows: DataFrame, condition: Column) -> DataFrame:
-    """Pairs of one bucket from different components that may link and meet ``condition``."""
-    p, q = rows.alias("p"), rows.alias("q")
-    met = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.comp") < F.col("q.comp")) & _may_link("p", "q") & condition)
-    return met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``; links are at ``percent`` hundredths of similarity or more."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "neardup")
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = scratch.write(docs.mapInArrow(_features, _FEATURES), "features")
+    feats = scratch.write(docs.mapInArrow(partial(_features, percent=percent), _FEATURES), "features")
 
     # Classes of equal sets; the representative is the smallest id.
     nodes = scratch.write(
@@ -142,62 +123,69 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     shared = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(F.xxhash64("node"), "node")).alias("mid")).filter("low <> high")
     member = scratch.write(member.join(shared.select("bucket", "low", "high", "mid.node").withColumnRenamed("node", "mid"), "bucket"), "members")
 
-    # Texts of all candidates, moved once; without the hint the plan, and the disk it needs, would change with the size.
+    # The full sets of all candidates, made once; without the hint the plan, and the disk it needs, would change with the size.
     wanted = member.select(F.col("node").alias("doc_id")).distinct()
-    texts = scratch.write(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
+    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_hash_sets, "node long, digest binary, items array<long>")
+    sets = scratch.write(sets.join(nodes.select("node", "digest"), ["node", "digest"], "left_semi"), "sets")
 
     centres = F.explode(F.array_distinct(F.array("low", "high", "mid")))
     star = member.select("node", centres.alias("c")).filter("node <> c").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"), "node").distinct()
     near = Window.partitionBy("node").orderBy("apart", "a", "b")
-    star = _with_signatures(star, sig).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= NEAREST)
-    star = scratch.write(star.select("a", "b").distinct(), "star")
-    links = scratch.write(_confirm(star, texts), "links1")
-
-    comp = scratch.write(connected_components(links, scratch, "cc1"), "labels1")
-    label = scratch.write(member.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), "members-labelled")
-    split = label.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x <> y").select("bucket", "m")
-    rest = scratch.write(label.join(split, "bucket").join(sig, "node"), "rest")
-
-    small = rest.filter(F.col("m") <= SMALL_BUCKET)
-    pairs = _across(small, F.lit(True)).join(star, ["a", "b"], "left_anti")
-    found = _confirm(scratch.write(pairs, "pairs"), texts)
-
-    large = rest.filter(F.col("m") > SMALL_BUCKET)
-    wanted = large.select(F.col("node").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_hash_sets, "node long, items array<long>").dropDuplicates(["node"])
-    large = large.join(scratch.write(sets, "sets"), "node").join(nodes.select("node", "bands"), "node")
-    large = large.withColumn("head", F.slice("bands", 1, (F.array_position("bands", F.col("bucket")) - 1).cast("int"))).drop("bands")
-    both = F.size(F.array_intersect("p.items", "q.items"))
-    linked = F.lit(100) * both >= F.lit(PERCENT) * (F.size("p.items") + F.size("q.items") - both)
-    # The components found so far are stars; only what joins them is new.
-    known = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    # A pair is compared in the first bucket that it shares.
-    first = ~F.arrays_overlap("p.head", "q.head")
-    links = scratch.write(known.unionByName(found).unionByName(_across(large, first & linked)), "links2")
-    comp = comp_table = scratch.write(connected_components(links, scratch, "cc2"), "labels2")
+    star = _with_signatures(star, sig, percent).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= NEAREST)
+    links = scratch.write(_confirm(star.select("a", "b").distinct(), sets, percent), "links")
+
+    comp = scratch.write(connected_components(links, scratch, "cc1"), "labels")
+    label = member.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    label = scratch.write(label, "members-labelled")
+    held = label.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps"))
+    rest = label.join(held.filter("comps > 1").select("bucket", F.col("m.comp").alias("main")), "bucket")
+    # Only components are joined further, by links between them.
+    found = _across(rest, nodes, sets, percent)
+    joined = scratch.write(connected_components(found, scratch, "cc2"), "joined")
+    scratch.keep_only(feats, nodes, comp, joined)
 
-    scratch.keep_only(feats, nodes, comp_table)
     class_of = nodes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
+    class_of = class_of.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("least")), "comp", "left").select("digest", F.coalesce("least", "comp").alias("comp"))
     out = feats.select("doc_id", "n_shingles", "digest").join(class_of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _with_signatures(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+def _across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that a bucket of ``rest`` (bucket, node, comp, and the bucket's main component) shows."""
+    # Of the texts of one id those that fell into the bucket.
+    rows = rest.join(nodes, "node").withColumn("at", F.array_position("bands", F.col("bucket")).cast("int")).filter("at > 0")
+    rows = rows.withColumn("head", F.slice("bands", 1, F.col("at") - 1)).drop("bands", "at").join(sets, ["node", "digest"])
+    p, q = rows.filter("comp <> main").alias("p"), rows.alias("q")
+    apart = (F.col("p.comp") < F.col("q.comp")) | ((F.col("q.comp") == F.col("q.main")) & (F.col("p.comp") != F.col("q.comp")))
+    first = ~F.arrays_overlap("p.head", "q.head")
+    met = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & apart & _may_link("p", "q", percent) & first & _linked(F.col("p.items"), F.col("q.items"), percent))
+    return met.select(F.greatest("p.comp", "q.comp").alias("a"), F.least("p.comp", "q.comp").alias("b")).distinct()
+
+
+def _linked(x: Column, y: Column, percent: int) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return F.lit(100) * both >= F.lit(percent) * (F.size(x) + F.size(y) - both)
+
+
+def _with_signatures(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     rename = lambda x: sig.select(F.col("node").alias(x), F.struct(*SIG).alias(f"s_{x}"))
     both = pairs.join(rename("b"), "b").join(rename("a"), "a")
-    return both.filter(_may_link("s_a", "s_b")).select(*pairs.columns, _apart("s_a", "s_b"))
+    return both.filter(_may_link("s_a", "s_b", percent)).select(*pairs.columns, _apart("s_a", "s_b").alias("apart"))
 
 
-def _confirm(pairs: DataFrame, text: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    left = text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct()
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
+    return pairs.join(right, "b").join(left, "a").filter(_linked(F.col("items_a"), F.col("items_b"), percent)).select("a", "b").distinct()
+
 
+def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, and every row without an id or without words.
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, and every row without an id or without words."""
-    keep = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    Of rows that share the ``doc_id`` that stays one is kept.  An empty table stays empty; all columns pass through.
+    """
+    keep = near_duplicates(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.filter(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

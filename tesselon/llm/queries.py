@@ -20,7 +20,8 @@ def vocabulary_path() -> str:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselon.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
+    # A deployment names the folder of its lasting cache; without one all texts are misses.
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path(), spark.conf.get("spark.tesselon.tokenCache", None))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselon.llm.neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

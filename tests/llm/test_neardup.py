@@ -4,9 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from tesselon.llm import neardup
 from tesselon.llm import shingles as S
-from tesselon.llm.neardup import near_duplicates, one_of_each_group
+from tesselon.llm.neardup import banding, near_duplicates, one_of_each_group
 
 
 def words(t):
@@ -18,7 +17,7 @@ def shingle_set(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(texts):
+def brute(texts, percent=85):
     sets = [shingle_set(t) for t in texts]
     comp = list(range(len(texts)))
 
@@ -29,7 +28,7 @@ def brute(texts):
 
     for i, j in itertools.combinations(range(len(texts)), 2):
         a, b = sets[i], sets[j]
-        if a and b and 100 * len(a & b) >= 85 * len(a | b):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
             x, y = find(i), find(j)
             comp[max(x, y)] = min(x, y)
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
@@ -86,12 +85,18 @@ def test_every_coordinate_fills_and_estimates():
     assert (one[0] == one[1]).all() and (one[0] == two[0]).all()
 
 
-@pytest.mark.parametrize("small", [1, 32])
-def test_components_match_brute_force(make_docs, odd_texts, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
+def test_bands_follow_the_threshold():
+    assert banding(85) == (36, 7) and banding(80) == (42, 6)
+    for percent in (50, 80, 85, 95, 100):
+        bands, rows = banding(percent)
+        assert bands * rows <= 256 and (1 - (percent / 100) ** rows) ** bands <= 3e-6
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_components_match_brute_force(make_docs, odd_texts, percent):
     texts = corpus() + odd_texts
-    comp, sizes = brute(texts)
-    rows = near_duplicates(make_docs(texts)).collect()
+    comp, sizes = brute(texts, percent)
+    rows = near_duplicates(make_docs(texts), percent).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert (r.component_id, r.n_shingles, r.kept) == (comp[r.doc_id], sizes[r.doc_id], comp[r.doc_id] == r.doc_id)
@@ -107,7 +112,7 @@ def test_large_group_of_near_copies(make_docs):
             w[rnd.randrange(150)] = f"x{rnd.random()}"
         texts.append(" ".join(w))
     comp, _ = brute(texts)
-    got = {r.doc_id: r.component_id for r in near_duplicates(make_docs(texts)).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(make_docs(texts), 85).collect()}
     assert got == dict(enumerate(comp))
 
 
@@ -119,3 +124,26 @@ def test_null_ids_repeats_and_empty_table(make_docs):
     assert out.columns == docs.columns
     assert sorted((str(r.doc_id) for r in out.collect())) == ["2", "5", "None"]
     assert near_duplicates(docs.filter("doc_id < 0")).count() == 0
+
+
+def test_families_around_one_passage(make_docs):
+    """Families of near copies that all hold a common passage: many share buckets, few are linked across."""
+    rnd = random.Random(6)
+    passage, texts = [f"p{i}" for i in range(150)], []
+    for f in range(12):
+        own = [f"f{f}x{i}" for i in range(50)]
+        for _ in range(15):
+            w = passage + own
+            for _ in range(rnd.choice([0, 1, 1, 2, 5])):
+                w[rnd.randrange(200)] = f"x{rnd.random()}"
+            texts.append(" ".join(w))
+    comp, _ = brute(texts, 80)
+    got = {r.doc_id: r.component_id for r in near_duplicates(make_docs(texts), 80).collect()}
+    assert got == dict(enumerate(comp)) and len(set(comp)) >= 12
+
+
+def test_a_very_long_text_and_one_id_for_two_texts(make_docs):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs = make_docs([long, long + " end", "a b c d e f g h", "z y x w v u t s", "z y x w v u t s"], ids=[1, 2, 3, 3, 4])
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 3)]
