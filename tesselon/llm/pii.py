@@ -6,16 +6,20 @@ pattern with a check of each match.  They are always reported.
 *Further spans* (secrets, IBANs, social-security numbers, local phone numbers, titled names) start as
 candidates.  Regex, gazetteer and context labelers vote +1, 0 or -1 on each; expectation-maximisation
 over the counts of vote patterns estimates every labeler's reliability and each pattern's posterior;
-a logistic span classifier is trained on those posteriors and applied to every candidate.  Vote
-patterns are counted in Spark over all documents; their number is bounded by the labelers (3 to the
-power of their number, times the kinds), so the two small fits run on the driver.
+a logistic span classifier is trained on those posteriors and applied to every candidate.  It sees, beside
+the votes, ``FEATURES`` of the span that no labeler looks at, so it may differ from the label model where
+votes are few.  Patterns of votes and features are counted in Spark over all documents and weigh as their
+count; their number is bounded (kinds, times 3 to the number of labelers, times 2 to that of features,
+of which few occur), so the two small fits run on the driver.
+
+Context is what stands up to ``LEFT`` characters before a span and one after it.
 
 Positions are code points, end exclusive.  They come from the lengths of the pieces between matches.
 Patterns take possessive groups and anchored starts, so long runs cost linear time and no stack.
 
-Defined results.  Null reads as empty and has no spans.  Repeated rows each get a row.  An empty
-table, or one without candidates, gives a classifier that rests on the labelers' prior reliabilities.
-Only ``doc_id`` and ``text`` are read.
+Defined results.  Null reads as empty and has no spans.  Very long texts are searched whole.  Repeated
+rows each get a row, rows with a null id too.  An empty table, or one without candidates, gives a
+classifier that rests on the labelers' prior reliabilities.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ EXTRA_PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}|\x20(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?|(?:\x20?[A-Z0-9]{4}){2}\x20?[A-Z0-9]{3})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "localphone": r"(?<![0-9+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}\p{Ll}++(?:[\x20-]\p{Lu}\p{Ll}++)*+",
 }
 # Words that speak for a kind when they stand before a span.
 CONTEXT = {
@@ -53,14 +57,22 @@ CONTEXT = {
     "localphone": "phone|tel|call|fax|mobile|contact",
     "name": "contact|signed|patient|author|from|dear",
 }
-# A small gazetteer of given and family names.
+# Frequent given and family names of the corpus languages; ``votes`` takes another list as a parameter.
 NAMES = (
-    "Anna", "David", "Elena", "Garcia", "James", "Jean", "John", "Jose", "Karl", "Laura", "Lopez", "Maria", "Martin",
-    "Mary", "Michael", "Mueller", "Paul", "Peter", "Robert", "Schmidt", "Smith", "Thomas",
+    "Ahmed", "Alexander", "Ali", "Alvarez", "Andrea", "Andrew", "Angela", "Anna", "Anne", "Antonio", "Barbara", "Bauer", "Becker", "Bernard", "Brown",
+    "Carlos", "Carmen", "Caroline", "Charles", "Christian", "Claire", "Claudia", "Daniel", "David", "Davis", "Diaz", "Dubois", "Durand", "Elena",
+    "Elizabeth", "Emily", "Emma", "Fernandez", "Fischer", "Francisco", "Frank", "Garcia", "George", "Gomez", "Gonzalez", "Hans", "Harris", "Helen",
+    "Hernandez", "Hoffmann", "Isabel", "Jackson", "James", "Jan", "Javier", "Jean", "Jennifer", "Johnson", "John", "Jones", "Jose", "Juan", "Julia",
+    "Karl", "Klaus", "Klein", "Laura", "Laurent", "Lefebvre", "Leroy", "Lewis", "Linda", "Lopez", "Louis", "Lucas", "Luis", "Manuel", "Marc", "Maria",
+    "Marie", "Mark", "Martin", "Martinez", "Mary", "Meyer", "Michael", "Michel", "Miller", "Moore", "Moreau", "Moreno", "Mueller", "Müller", "Nicolas",
+    "Pablo", "Patricia", "Paul", "Pedro", "Perez", "Peter", "Petit", "Philippe", "Pierre", "Ramirez", "Richard", "Robert", "Rodriguez", "Romero", "Ruiz",
+    "Sanchez", "Sarah", "Schmidt", "Schneider", "Schulz", "Simon", "Smith", "Sophie", "Stefan", "Susan", "Taylor", "Thomas", "Torres", "Wagner",
+    "Walter", "Weber", "White", "William", "Williams", "Wilson", "Wolf",
 )
 
 CUMULATE = 256
-LEFT = 24
+NEWTON_ROUNDS, RIDGE = 60, 0.05
+LEFT = 64
 
 
 def _guard(kind: str, t: Column) -> Column:
@@ -98,6 +110,7 @@ def _candidate(kind: str):
         (s + F.length(m)).alias("end"),
         m.alias("value"),
         F.substring(F.col("_t"), F.greatest(s - LEFT, F.lit(0)) + 1, F.least(s, F.lit(LEFT))).alias("before"),
+        F.substring(F.col("_t"), s + F.length(m) + 1, F.lit(1)).alias("after"),
     )
 
 
@@ -165,7 +178,7 @@ def base_spans(d: DataFrame) -> DataFrame:
 
 
 # Labelers: name, and the vote on a candidate with fields kind, value, before.
-def _votes(c: Column) -> dict[str, Column]:
+def _votes(c: Column, names: tuple[str, ...] = NAMES) -> dict[str, Column]:
     kind, value, before = c["kind"], c["value"], F.lower(c["before"])
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
     mixed = F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))
@@ -178,7 +191,7 @@ def _votes(c: Column) -> dict[str, Column]:
         .when(kind == "localphone", F.when(F.rlike(value, F.lit(r"^\(?[2-9]")), yes).otherwise(no))
         .when(kind == "iban", F.when(F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34), yes).otherwise(no))
         .otherwise(none),
-        "gazetteer": F.when(kind == "name", F.when(F.rlike(value, F.lit(rf"(?:{'|'.join(NAMES)})")), yes).otherwise(none)).otherwise(none),
+        "gazetteer": F.when(kind == "name", F.when(F.rlike(value, F.lit(rf"\b(?:{'|'.join(names)})\b")), yes).otherwise(none)).otherwise(none),
         "context": F.when(by_context, yes).otherwise(none),
         "assigned": F.when((kind == "secret") & F.rlike(before, F.lit("[a-z_]\\x20?[=:]\\x20?\"$")), yes).otherwise(none),
         "variety": F.when(kind == "name", none).when(F.size(F.array_distinct(F.split(value, ""))) <= 3, no).when((kind == "secret") & mixed, yes).otherwise(none),
@@ -188,14 +201,36 @@ def _votes(c: Column) -> dict[str, Column]:
 
 LABELERS = ("shape", "gazetteer", "context", "assigned", "variety", "titled")
 
+#: What the classifier sees of a span beside the votes.
+FEATURES = ("long", "short", "digits", "upper", "separated", "varied", "several", "line_start", "colon", "closed")
+
+
+def _features(c: Column) -> dict[str, Column]:
+    value, before, after = c["value"], c["before"], c["after"]
+    size = F.length(value)
+    share = lambda pattern, k: F.length(F.regexp_replace(value, pattern, "")) * k >= size
+    on = {
+        "long": size >= 32,
+        "short": size < 12,
+        "digits": share("[^0-9]", 2),
+        "upper": share("[^A-Z]", 2),
+        "separated": F.rlike(value, F.lit("[\\x20.()/_-]")),
+        "varied": F.size(F.array_distinct(F.split(value, ""))) >= 10,
+        "several": F.size(F.split(value, "\\x20")) >= 3,
+        "line_start": F.rlike(before, F.lit("(?:^|\\n)$")),
+        "colon": F.rlike(before, F.lit("[:=]\\x20?\"?$")),
+        "closed": F.rlike(after, F.lit("^(?:[\\s\"',.;:)]|$)")),
+    }
+    return {k: on[k].cast("int") for k in FEATURES}
+
 
 def candidates(d: DataFrame) -> DataFrame:
-    """Adds ``_cand``: array of (kind, start, end, long, votes...) to rows that have the text as ``_t``."""
+    """Adds ``_cand``: array of (kind, start, end, features..., votes...) to rows that have the text as ``_t``."""
     before = d.columns
     d = _stage_matches(d, EXTRA_PATTERNS)
     raw = [F.zip_with(f"m_{k}", f"s_{k}", _candidate(k)) for k in EXTRA]
     d = d.select(*before, F.concat(*raw).alias("_raw"))
-    voted = F.transform("_raw", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), (F.length(c["value"]) >= 32).cast("int").alias("long"), *[v.alias(n) for n, v in _votes(c).items()]))
+    voted = F.transform("_raw", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *[v.alias(n) for n, v in (_features(c) | _votes(c)).items()]))
     return d.select(*before, voted.alias("_cand"))
 
 
@@ -211,7 +246,8 @@ class SpanModel:
         z = F.lit(self.weights["bias"])
         for k in EXTRA:
             z = z + F.when(c["kind"] == k, self.weights[f"kind={k}"]).otherwise(0.0)
-        z = z + c["long"] * F.lit(self.weights["long"])
+        for n in FEATURES:
+            z = z + c[n] * F.lit(self.weights[n])
         for n in LABELERS:
             z = z + F.when(c[n] > 0, self.weights[f"{n}+"]).when(c[n] < 0, self.weights[f"{n}-"]).otherwise(0.0)
         return 1.0 / (1.0 + F.exp(-z))
@@ -246,35 +282,38 @@ def fit(docs: DataFrame) -> SpanModel:
     """Counts the vote patterns of all candidates, estimates reliabilities and trains the span classifier."""
     d = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     c = candidates(d).select(F.explode("_cand").alias("c"))
-    counted = c.groupBy("c.kind", "c.long", *[f"c.{n}" for n in LABELERS]).count().collect()
+    counted = c.groupBy("c.kind", *[f"c.{n}" for n in (*FEATURES, *LABELERS)]).count().collect()
     by_votes: dict[tuple[int, ...], float] = {}
     rows = []
     for r in sorted(counted, key=str):
         votes = tuple(r[n] for n in LABELERS)
         by_votes[votes] = by_votes.get(votes, 0) + r["count"]
-        rows.append((r["kind"], r["long"], votes, r["count"]))
+        rows.append((r["kind"], [n for n in FEATURES if r[n]], votes, r["count"]))
     # Every single vote once, so that labelers unseen here keep their prior and the classifier has all weights.
     pseudo = [tuple(s if i == j else 0 for i in range(len(LABELERS))) for j in range(len(LABELERS)) for s in (1, -1)]
     acc, prior, post = estimate(sorted(by_votes.items()) + [(p, 1.0) for p in pseudo if p not in by_votes])
-    rows += [(k, 0, p, 0.2) for k in EXTRA for p in pseudo]
-    names = ["bias", "long"] + [f"kind={k}" for k in EXTRA] + [f"{n}{s}" for n in LABELERS for s in "+-"]
+    rows += [(k, [], p, 0.2) for k in EXTRA for p in pseudo]
+    names = ["bias", *FEATURES] + [f"kind={k}" for k in EXTRA] + [f"{n}{s}" for n in LABELERS for s in "+-"]
     at = {n: i for i, n in enumerate(names)}
     x, y, w = [], [], []
-    for kind, long, votes, count in rows:
-        f = [at["bias"], at[f"kind={kind}"]] + [at["long"]] * long + [at[n + ("+" if v > 0 else "-")] for n, v in zip(LABELERS, votes, strict=True) if v]
+    for kind, seen, votes, count in rows:
+        f = [at["bias"], at[f"kind={kind}"]] + [at[n] for n in seen] + [at[n + ("+" if v > 0 else "-")] for n, v in zip(LABELERS, votes, strict=True) if v]
         x.append(f)
         y.append(post[votes])
-        w.append(math.log1p(count))
-    theta = [0.0] * len(names)
-    scale = sum(w)
-    for _ in range(600):
-        grad = [-0.001 * t for t in theta]
-        for f, t, k in zip(x, y, w, strict=True):
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(theta[i] for i in f)))))
-            for i in f:
-                grad[i] += k * (t - p) / scale
-        theta = [t + 2.0 * g for t, g in zip(theta, grad, strict=True)]
-    return SpanModel(dict(zip(LABELERS, acc, strict=True)), prior, dict(zip(names, theta, strict=True)))
+        w.append(count)
+    import numpy as np
+
+    seen = np.zeros((len(x), len(names)))
+    for i, f in enumerate(x):
+        seen[i, f] = 1.0
+    y, w, theta = np.array(y), np.array(w, float), np.zeros(len(names))
+    for _ in range(NEWTON_ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(seen @ theta, -30, 30)))
+        slope = seen.T @ (w * (y - p)) - RIDGE * theta
+        bend = seen.T @ (seen * (w * p * (1 - p))[:, None]) + RIDGE * np.eye(len(names))
+        step = np.linalg.solve(bend, slope)
+        theta += step / max(1.0, float(np.abs(step).max()))
+    return SpanModel(dict(zip(LABELERS, acc, strict=True)), prior, dict(zip(names, theta.tolist(), strict=True)))
 
 
 def find_spans(docs: DataFrame, model: SpanModel, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
@@ -298,6 +337,7 @@ def personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         *[F.size(F.filter("_base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_joined("_base").cast("binary"), 256).alias("base_sha256"),
         _joined("_spans").alias("spans"),
+        F.size("_spans").cast("long").alias("n_spans"),
     )
 
 
