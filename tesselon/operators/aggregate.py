@@ -14,6 +14,8 @@ from tesselon.operators.frame import ROW_ID, GeoFrame, box_name, geometry_column
 
 #: Geometries united at once by one task before it passes a partial union on.
 CHUNK = 512
+#: Bytes of WKB that a task holds over all its keys before it passes its partial unions on.
+HELD_BYTES = 64 << 20
 SALTS = 64
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -23,13 +25,23 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
 
 
 def partial_unions(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
-    """Per task and key the union of the geometries it sees, in chunks: what is shuffled afterwards is partial unions only."""
+    """Per task and key the union of the geometries it sees, in chunks: what is shuffled afterwards is partial unions only.
+
+    A task of many keys passes on what it has whenever ``HELD_BYTES`` have come in, so a key may have several partial unions.
+    """
     schema = df.select(*keys, geometry).schema
 
     def run(batches):
         import pandas as pd
 
         held: dict[tuple, list[G.Geom]] = {}
+        size = 0
+
+        def united():
+            rows = [(*k, G.to_wkb(T.union_all(v))) for k, v in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*keys, geometry])
+
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 *key, b = row
@@ -37,10 +49,13 @@ def partial_unions(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
                     continue
                 parts = held.setdefault(tuple(key), [])
                 parts.append(G.from_wkb(bytes(b)))
+                size += len(b)
                 if len(parts) >= CHUNK:
                     parts[:] = [T.union_all(parts)]
-        rows = [(*k, G.to_wkb(T.union_all(v))) for k, v in held.items()]
-        yield pd.DataFrame(rows, columns=[*keys, geometry])
+                if size >= HELD_BYTES:
+                    yield united()
+                    size = 0
+        yield united()
 
     return df.select(*keys, geometry).mapInPandas(run, schema)
 

@@ -357,7 +357,18 @@ class GeoFrame:
             fast = self._point_in_box(name, G.as_geom(other))
             if fast is not None:
                 return F.coalesce(fast, F.lit(False))
-        return st.predicates[name](self.geometry, self._other(other)[0])
+        wkb, box = self._other(other)
+        exact = st.predicates[name](self.geometry, wkb)
+        if box is None:
+            return exact
+        if isinstance(other, str) and other in self.df.columns:
+            # Two empty values have no boxes and may still be equal.
+            near = F.coalesce(box_condition(name, self.bbox, box), F.lit(True))
+            return ~near | exact if name == "disjoint" else near & exact
+        b = G.as_geom(other).bounds()
+        near = box_condition(name, self.bbox, dict(zip(BOX, map(F.lit, b))))
+        # As conjuncts on the companion these reach the files' statistics; a missing box makes the exact test false as well.
+        return F.coalesce(~near, F.lit(False)) | exact if name == "disjoint" else near & exact
 
     def _point_in_box(self, name: str, g: G.Geom) -> Column | None:
         """For columns known to hold points and a constant box the comparison is arithmetic on the companion."""
@@ -542,13 +553,23 @@ for _n in st.PREDICATES:
     setattr(GeoFrame, _n, _predicate_method(_n))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local master may leave it unset and gets one of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="tesselon-")
+
+
 def fixed(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the shared folder of ``spark.checkpoint.dir``; where that is unset, in one of this machine."""
+    """The rows as they are now, checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesselon-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -561,6 +582,16 @@ def is_box(g: G.Geom) -> bool:
     )
 
 
+def box_condition(predicate: str, a: Column, b: Column) -> Column:
+    """What the boxes of two non-empty geometries must satisfy for a relation other than disjoint."""
+    inside = lambda p, q: (q["xmin"] <= p["xmin"]) & (p["xmax"] <= q["xmax"]) & (q["ymin"] <= p["ymin"]) & (p["ymax"] <= q["ymax"])
+    if predicate in ("within", "covered_by"):
+        return inside(a, b)
+    if predicate in ("contains", "covers", "contains_properly"):
+        return inside(b, a)
+    return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
+
+
 def box_predicate(name: str, a: Column, a_point: bool, b: Column, b_point: bool) -> Column | None:
     """A relation of points and axis-parallel boxes with area as arithmetic on their bounds; None where it is not one."""
     meet = (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])

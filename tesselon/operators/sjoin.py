@@ -1,76 +1,92 @@
 """Spatial join as an equi-join on grid cells.
 
-Boxes are dealt to levels of a grid hierarchy by their size, so a box covers at most four cells of
-its level.  A pair meets at the coarser of its two levels: every row is placed on its own level and on
-the coarser ones that the other side uses.  Of the cells that a pair shares only the one that holds the
-lower corner of their common box reports it, so no distinct is needed.  Box conditions are part of the
-join; the exact relation runs on what is left, or is itself arithmetic where both sides are known to
-hold points or boxes.  Hot cells are split by adaptive skew handling.
+Boxes are dealt to levels of a grid hierarchy by their size, so a box covers at most four cells of its
+level.  A pair meets at the coarser of its two levels: every row is placed on its own level and on those
+coarser ones that occur on the other side.  The coarsest level still has ``SPREAD`` cells along each side
+of the common extent; a larger box is cut into cells of it, at most ``(SPREAD + 1) ** 2``, so one box over
+everything neither multiplies the other side nor makes a key that holds it whole.  Of the cells that a pair
+shares only the one that holds the lower corner of their common box reports it, so no distinct is needed.
+Box conditions are part of the join; the exact relation runs on what is left, or is itself arithmetic where
+both sides are known to hold points or boxes.  Hot cells are split by adaptive skew handling.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.functions import st
-from tesselon.operators.frame import ROW_ID, GeoFrame, box_name, box_predicate, fixed, geometry_columns
+from tesselon.operators.frame import ROW_ID, GeoFrame, box_condition, box_name, box_predicate, fixed, geometry_columns
 
 PREDICATES = ("contains", "contains_properly", "covered_by", "covers", "crosses", "intersects", "overlaps", "touches", "within")
 
 
+SPREAD = 16
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Cell size of level 0, the coarsest level, and the levels on which each side has boxes."""
+
+    size: float
+    top: int
+    left: frozenset[int]
+    right: frozenset[int]
+
+
+def _extent(box: Column) -> Column:
+    return F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+
+
 def _stats(df: DataFrame, box: str):
+    """By binary exponent of the box size (null for points): how many, their mean size and total bounds.  A few rows."""
     b = F.col(box)
-    w, h = b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]
-    return df.agg(F.count(b["xmin"]), F.avg(F.greatest(w, h)), F.max(F.greatest(w, h)), F.min(b["xmin"]), F.min(b["ymin"]), F.max(b["xmax"]), F.max(b["ymax"])).first()
+    size = _extent(b)
+    e = F.when(size > 0, F.ceil(F.log2(size)).cast("int")).alias("e")
+    return df.filter(b.isNotNull()).groupBy(e).agg(F.count("*"), F.sum(size), F.min(b["xmin"]), F.min(b["ymin"]), F.max(b["xmax"]), F.max(b["ymax"])).collect()
 
 
-def grid(left: DataFrame, lbox: str, right: DataFrame, rbox: str) -> tuple[float, int] | None:
-    """Cell size of level 0 and the highest level; None if a side has no boxes."""
-    a, b = _stats(left, lbox), _stats(right, rbox)
-    if not a[0] or not b[0]:
+def grid(left: DataFrame, lbox: str, right: DataFrame, rbox: str) -> Grid | None:
+    """The grid of a join; None if a side has no boxes."""
+    sides = _stats(left, lbox), _stats(right, rbox)
+    if not all(sides):
         return None
-    extent = max(max(a[5], b[5]) - min(a[3], b[3]), max(a[6], b[6]) - min(a[4], b[4]))
-    n = max(a[0], b[0])
+    every = [r for s in sides for r in s]
+    extent = max(max(r[5] for r in every) - min(r[3] for r in every), max(r[6] for r in every) - min(r[4] for r in every))
+    n = [sum(r[1] for r in s) for s in sides]
+    mean = [sum(r[2] for r in s) / k for s, k in zip(sides, n)]
     # About one row to a cell if spread evenly, but no finer than the typical box of the side with smaller ones.
-    size = max(min(a[1], b[1]), extent / max(1.0, math.sqrt(n)), max(extent, 1e-9) / 2**20)
-    largest = max(a[2], b[2])
-    return size, max(0, math.ceil(math.log2(largest / size))) if largest > size else 0
+    size = max(min(mean), extent / max(1.0, math.sqrt(max(n))), max(extent, 1e-9) / 2**20)
+    base = math.ceil(math.log2(size))
+    top = max(0, math.floor(math.log2(max(extent, size))) - base - int(math.log2(SPREAD)))
+    level = lambda e: 0 if e is None else min(top, max(0, e - base))
+    return Grid(2.0**base, top, *(frozenset(level(r[0]) for r in s) for s in sides))
 
 
-def _cells(df: DataFrame, box: str, size: float, top: int) -> DataFrame:
-    """A row for each level from the box's own up to ``top`` and each cell there."""
+def _cells(df: DataFrame, box: str, g: Grid, other: frozenset[int]) -> DataFrame:
+    """A row for the box's own level and each coarser one of the other side, and for each cell that it meets there."""
     b = F.col(box)
-    extent = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
-    own = F.when(extent > size, F.ceil(F.log2(extent / F.lit(size)))).otherwise(F.lit(0)).cast("int")
-    own = F.greatest(F.lit(0), F.least(own, F.lit(top)))
-    d = df.filter(b.isNotNull()).withColumn("_own", own)
-    d = d.withColumn("_level", F.explode(F.sequence("_own", F.lit(top))))
-    g = F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
-    cell = lambda k: F.floor(b[k] / g)
+    size = _extent(b)
+    own = F.when(size > g.size, F.ceil(F.log2(size / F.lit(g.size)))).otherwise(F.lit(0)).cast("int")
+    d = df.filter(b.isNotNull()).withColumn("_own", F.greatest(F.lit(0), F.least(own, F.lit(g.top))))
+    coarser = F.filter(F.array(*[F.lit(k) for k in sorted(other)]), lambda k: k > F.col("_own"))
+    d = d.withColumn("_level", F.explode(F.concat(F.array("_own"), coarser)))
+    cell = lambda k: F.floor(b[k] / (F.lit(g.size) * F.pow(F.lit(2.0), F.col("_level"))))
     d = d.withColumn("_cx", F.explode(F.sequence(cell("xmin"), cell("xmax"))))
     return d.withColumn("_cy", F.explode(F.sequence(cell("ymin"), cell("ymax"))))
 
 
-def _box_condition(predicate: str, a: Column, b: Column) -> Column:
-    inside = lambda p, q: (q["xmin"] <= p["xmin"]) & (p["xmax"] <= q["xmax"]) & (q["ymin"] <= p["ymin"]) & (p["ymax"] <= q["ymax"])
-    if predicate in ("within", "covered_by"):
-        return inside(a, b)
-    if predicate in ("contains", "covers", "contains_properly"):
-        return inside(b, a)
-    return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
-
-
-def cell_join(left: DataFrame, lbox: str, right: DataFrame, rbox: str, predicate: str, size: float, top: int) -> DataFrame:
+def cell_join(left: DataFrame, lbox: str, right: DataFrame, rbox: str, predicate: str, on: Grid) -> DataFrame:
     """Pairs whose boxes allow the relation, each once."""
-    a, b = _cells(left, lbox, size, top), _cells(right, rbox, size, top).withColumnRenamed("_own", "_rown")
+    a, b = _cells(left, lbox, on, on.right), _cells(right, rbox, on, on.left).withColumnRenamed("_own", "_rown")
     p, q = F.col(f"`{lbox}`"), F.col(f"`{rbox}`")
-    g = F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
+    g = F.lit(on.size) * F.pow(F.lit(2.0), F.col("_level"))
     met = a.join(b, ["_level", "_cx", "_cy"]).filter(
         (F.col("_level") == F.greatest("_own", "_rown"))
-        & _box_condition(predicate, p, q)
+        & box_condition(predicate, p, q)
         & (F.col("_cx") == F.floor(F.greatest(p["xmin"], q["xmin"]) / g))
         & (F.col("_cy") == F.floor(F.greatest(p["ymin"], q["ymin"]) / g))
     )
@@ -113,7 +129,7 @@ def sjoin(left: GeoFrame, right: GeoFrame, how: str = "inner", predicate: str =
         found = l.limit(0).crossJoin(r.limit(0))
     else:
         p, q = F.col(f"`{lb}`"), F.col("_rb")
-        joined = cell_join(l, lb, r, "_rb", predicate, *sized)
+        joined = cell_join(l, lb, r, "_rb", predicate, sized)
         types = [f.meta.get("types") for f in (left, right)]
         exact = box_predicate(predicate, p, types[0] == ["Point"], q, types[1] == ["Point"]) if all(t in (["Point"], ["Box"]) for t in types) else None
         found = joined.filter(st.predicates[predicate](F.col(f"`{lg}`"), F.col("_rg")) if exact is None else exact)
@@ -144,12 +160,15 @@ def sjoin_nearest(left: GeoFrame, right: GeoFrame, k: int = 1, max_distance: flo
     schema = "left_id bigint, right_id bigint, distance double"
     done = left.df.sparkSession.createDataFrame([], schema)
     if sized is not None and n:
-        radius, want = sized[0], min(k, n)
+        radius, want = sized.size, min(k, n)
         for _ in range(max_rounds):
             limit = radius if max_distance is None else min(radius, max_distance)
             b = F.col("_lb")
             wide = todo.withColumn("_wide", F.struct(*[(b[c] + F.lit(s * limit)).alias(c) for c, s in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1))]))
-            hits = cell_join(wide, "_wide", right_rows, "_rb", "intersects", *(grid(wide, "_wide", right_rows, "_rb") or (limit, 0)))
+            near = grid(wide, "_wide", right_rows, "_rb")
+            if near is None:  # no row is left to look for
+                break
+            hits = cell_join(wide, "_wide", right_rows, "_rb", "intersects", near)
             hits = hits.select("left_id", "right_id", st.distance("_lg", "_rg").alias("distance")).filter(F.col("distance") <= limit)
             rank = F.row_number().over(Window.partitionBy("left_id").orderBy("distance", "right_id"))
             best = fixed(hits.withColumn("_r", rank).filter(F.col("_r") <= want))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.functions import st
-from tesselon.operators.frame import GeoFrame, boxes_from_bounds, concat, from_wkb, from_wkt, points_from_xy
+from tesselon.operators.frame import GeoFrame, boxes_from_bounds, concat, from_wkb, from_wkt, points_from_xy, shared_folder
 from tesselon.operators.partition import spatial_shuffle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,11 +576,9 @@ def nearest_join(spark, d):
 # Files: written to the shared folder, read again
 
 def _shared(spark: SparkSession) -> str:
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or tempfile.gettempdir()}/tesselon-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tesselon-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT c_custkey, c_mktsegment, x AS px FROM ({POINTS}) WHERE x BETWEEN 0 AND 90")

@@ -1,8 +1,8 @@
 """Python data source that writes Arrow batches to one Parquet or Feather file a task, with the ``geo`` key.
 
 Spark's own writer cannot add a footer key.  Files are written under a temporary name and get their
-final one when the job commits, so attempts of lost tasks leave nothing behind.  Paths are resolved
-with pyarrow's file systems.
+final one when the job commits, so attempts of lost tasks leave nothing behind; overwriting removes the
+old files at that moment and not before.  Paths are resolved with pyarrow's file systems.
 """
 
 from __future__ import annotations
@@ -37,14 +37,9 @@ class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.kind, self.geo = options["path"].rstrip("/"), options.get("kind", "parquet"), options["geo"]
         self.by = json.loads(options.get("by", "[]"))
-        self.job = uuid.uuid4().hex
+        self.job, self.overwrite = uuid.uuid4().hex, overwrite
         self.extension = "parquet" if self.kind == "parquet" else "feather"
         fs, root = filesystem(self.path)
-        if overwrite:
-            import pyarrow.fs as pafs
-
-            if fs.get_file_info(root).type != pafs.FileType.NotFound:
-                fs.delete_dir_contents(root)
         fs.create_dir(root, recursive=True)
 
     def write(self, iterator):
@@ -112,6 +107,13 @@ class Writer(DataSourceArrowWriter):
 
     def commit(self, messages):
         fs, root = filesystem(self.path)
+        if self.overwrite:
+            # What was there goes once all new files are complete, so a failed job leaves it and the job may read it.
+            import pyarrow.fs as pafs
+
+            for f in fs.get_file_info(pafs.FileSelector(root)):
+                if not f.base_name.startswith(f"_{self.job}"):
+                    fs.delete_dir(f.path) if f.type == pafs.FileType.Directory else fs.delete_file(f.path)
         count: dict[str, int] = {}
         for m in sorted((m for m in messages if m), key=lambda m: m.partition):
             for name, folder in m.files:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import st
 from tesselon.operators.frame import GeoFrame, box_name, points_from_xy
-from tesselon.operators.sjoin import cell_join
+from tesselon.operators.sjoin import Grid, cell_join
 
 
 def stream_points(stream: DataFrame, x: str, y: str, crs=None) -> GeoFrame:
@@ -23,5 +23,6 @@ def windowed_counts(frame: GeoFrame, time: str, late: str, window: str, keys: li
 def join_static(stream: GeoFrame, static: GeoFrame, size: float, predicate: str = "within", top: int = 0) -> DataFrame:
     """Inner spatial join of a stream with a table on grid cells of a given size."""
     right = static.df.withColumnsRenamed({static.name: "_rg", box_name(static.name): "_rb"})
-    met = cell_join(stream.df, box_name(stream.name), right, "_rb", predicate, size, top)
+    levels = frozenset(range(top + 1))
+    met = cell_join(stream.df, box_name(stream.name), right, "_rb", predicate, Grid(size, top, levels, levels))
     return met.filter(st.predicates[predicate](stream.geometry, F.col("_rg"))).drop("_rg", "_rb")
