@@ -10,10 +10,12 @@ to all of them, can share no band, and is not sketched.
 
 A retrieved template matches if at least ``PERCENT`` of its distinct shingles stand in the window;
 each occurrence in a window is a match of its own, and what touching windows show of one occurrence is
-one match, reported by its position in code points.
+one match, reported by its position in code points.  Of templates that differ in a few words only
+(``FAMILIES``) a passage is reported as the one it holds most of.
 
-Defined results.  Null, empty and short texts have no match.  Repeated rows each get a row.  An empty
-table gives an empty result.  Only ``doc_id`` and ``text`` are read.
+Defined results.  Null, empty and short texts have no match.  Very long texts are scanned whole.  Repeated
+rows each get a row, rows with a null id too.  An empty table gives an empty result.  Only ``doc_id`` and
+``text`` are read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,12 @@ SHINGLE = 3
 BANDS = 64
 PERCENT = 80
 
-# Notices of common public licences.
+# Notices and texts of common public licences.
 TEMPLATES = {
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
@@ -42,22 +48,76 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met"
     ),
+    "bsd-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution."
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"
+    ),
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": (
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights "
+        "to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at https://www.eclipse.org/legal/epl-2.0"
+    ),
+    "gpl-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "lgpl-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "lgpl-3.0-notice": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "mit": "Released under the MIT License.",
     "mit-notice": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction"
     ),
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        "or substantial portions of the Software."
+    ),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, "
+        "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
+        "by any means."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely"
+    ),
 }
 
+#: Templates so alike that a passage close to one is close to the others: of those the closest is reported.
+FAMILIES = {n: "gnu notice" for n in ("agpl-3.0-notice", "gpl-2.0-notice", "gpl-3.0-notice", "lgpl-2.1-notice", "lgpl-3.0-notice")}
+
 
 def _clean(text: str | None) -> str:
     """Every byte that is not part of a word becomes a space, so offsets stay."""
@@ -168,14 +228,35 @@ class Scanner:
                         for s, e, share in self.occurrences(i, inside.tolist(), window[inside].tolist()):
                             found.setdefault(i, []).append((lo + s, lo + e, share))
             rows = []
-            raw = clean[k].encode()
             for i, spans in found.items():
-                for s, e, share in self.apart(spans):
-                    points = [len(raw[: int(p) - int(base[k])].decode()) for p in (begin[a + s], end[a + e - 1])]
-                    rows.append((self.names[i], *points, share))
-            out.append(sorted(rows, key=lambda r: (r[1], r[0])))
+                rows += [(self.names[i], int(begin[a + s]) - int(base[k]), int(end[a + e - 1]) - int(base[k]), share) for s, e, share in self.apart(spans)]
+            out.append(in_code_points(clean[k].encode(), self.closest(rows)))
         return out
 
+    def closest(self, rows: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+        """Of overlapping matches of one family the fullest; ties go to the template with more shingles, then by name."""
+        size = dict(zip(self.names, map(len, self.sets), strict=True))
+        taken: dict[str, list[tuple[int, int]]] = {}
+        kept = []
+        for r in sorted(rows, key=lambda r: (-r[3], -size[r[0]], r[0], r[1])):
+            spans = taken.setdefault(FAMILIES.get(r[0], ""), [])
+            if r[0] in FAMILIES:
+                at = bisect_right(spans, (r[1], r[2]))
+                if (at and spans[at - 1][1] > r[1]) or (at < len(spans) and spans[at][0] < r[2]):
+                    continue
+                spans.insert(at, (r[1], r[2]))
+            kept.append(r)
+        return kept
+
+
+def in_code_points(raw: bytes, rows: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Byte offsets turned into code points, in one walk over the text; rows by start, then name."""
+    point, at, n = {}, 0, 0
+    for p in sorted({p for r in rows for p in r[1:3]}):
+        n += len(raw[at:p].decode())
+        point[p], at = n, p
+    return sorted(((name, point[s], point[e], share) for name, s, e, share in rows), key=lambda r: (r[1], r[0]))
+
 
 @lru_cache(maxsize=2)
 def scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
