@@ -42,7 +42,7 @@ MIN_WEIGHT = 2.0
 #: Weights of evidence at which a tier of the lexicon ends.
 TIERS = (3.0, 4.5)
 PREFIXES = (3, 4, 5, 6, 7)
-CACHE = 100_000
+CACHE = 200_000
 ROUNDS = 12
 _STRIP = ".,;:!?\"'()[]{}|#*$%&<>-_=+~`/\\"
 _MASKED = re.compile(r"[^\W\d_]+[*@$#!]+[^\W\d_]+")
@@ -108,32 +108,37 @@ def _hits(lexicon: list[tuple[str, float]], carried: list[str]):
 
         at = {t: i for i, (t, _) in enumerate(lexicon)}
         cache: dict[str, tuple] = {}
+        get = cache.get
+        # Every prefix has three letters at least, so a word's start rules most words out.
+        heads = {t.rstrip("-")[:3] for t in at} | {w[:3] for w in INSULTS}
 
         def look(raw: str) -> tuple:
-            low = raw.lower().strip(_STRIP)
-            return (
-                tuple(at[t] for t in terms_of(low) if t in at) if low else (),
-                (int(low in INSULTS), int(len(low) > 2 and raw.isupper()), int(_MASKED.search(raw) is not None)),
-            )
+            """Terms and marks of a word; empty for the many words that have neither."""
+            plain = raw.isalpha()
+            low = raw.lower() if plain else raw.lower().strip(_STRIP)
+            shout, masked = len(low) > 2 and raw.isupper(), not plain and _MASKED.search(raw) is not None
+            if low[:3] not in heads and not shout and not masked:
+                return ()
+            return tuple(at[t] for t in terms_of(low) if t in at) if low else (), (int(low in INSULTS), int(shout), int(masked))
 
         for b in batches:
             cols: list[list] = [[] for _ in range(7)]
             for text in b.column("text").to_pylist():
-                size, exclaim, count, marks, hits = 0, 0, Counter(), [0, 0, 0], Counter()
+                size, exclaim, marks, hits = 0, 0, [0, 0, 0], Counter()
                 for part in pieces(text or ""):
-                    count.update(part.split())
+                    tokens = part.split()
+                    size += len(tokens)
                     exclaim += part.count("!")
-                for raw, k in count.items():
-                    size += k
-                    f = cache.get(raw)
-                    if f is None:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        f = cache[raw] = look(raw)
-                    for i in f[0]:
-                        hits[i] += k
-                    if any(f[1]):
-                        marks = [m + x * k for m, x in zip(marks, f[1], strict=True)]
+                    for raw in tokens:
+                        f = get(raw)
+                        if f is None:
+                            if len(cache) >= CACHE:
+                                cache.clear()
+                            f = cache[raw] = look(raw)
+                        if f:
+                            for i in f[0]:
+                                hits[i] += 1
+                            marks = [m + x for m, x in zip(marks, f[1])]
                 found = sorted(hits.items())
                 for c, v in zip(cols, (size, [i for i, _ in found], [n for _, n in found], *marks, exclaim), strict=True):
                     c.append(v)
