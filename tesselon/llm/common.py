@@ -51,13 +51,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables of one run in the shared folder.  They replace lineage, so a lost executor costs only a reread."""
+    """Tables of one run in the shared folder.  They replace lineage, so a lost executor costs only a reread.
+
+    Results read them lazily; they are deleted when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.tables: list[DataFrame] = []
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def new_path(self, name: str) -> str:
         self.n += 1

@@ -77,7 +77,7 @@ LEFT = 64
 
 def _guard(kind: str, t: Column) -> Column:
     """A cheap necessary condition, so that most texts are not scanned by most patterns."""
-    need = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")), "secret": F.contains(t, F.lit('"')), "name": F.rlike(t, F.lit(r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z]"))}
+    need = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")), "secret": F.contains(t, F.lit('"')), "name": F.rlike(t, F.lit(r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}"))}
     return need.get(kind, F.rlike(t, F.lit("[0-9]")))
 
 

@@ -70,6 +70,40 @@ def test_base_scores_probability_and_gain(make_docs, odd_texts, monkeypatch):
         assert gain > 0
 
 
+def test_score_against_a_plain_computation(make_docs, monkeypatch):
+    """The chain over symbols in plain probabilities, and each other word's smoothed share of its class."""
+    monkeypatch.setattr(hmm, "TOP_WORDS", 40)
+    monkeypatch.setattr(hmm, "SYMBOLS", 15)
+    seen, train = [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: seen.append(train(*a)) or seen[0])
+    texts = [" ".join(t.split()[:12]) for t in corpus()[:150]] + ["never seen words", "", None]
+    rows = hmm.language_scores(make_docs(texts), 2, 3).collect()
+    (start, move, emit), _ = seen[0]
+    toks = {i: (t or "").encode().lower().split() for i, t in enumerate(texts)}
+    c = Counter(w for i in toks if not held(i) for w in toks[i])
+    top = sorted(c, key=lambda w: (-c[w], w))[:15]
+    # The table of frequent words is cut at a step of counts; the symbols are its most frequent.
+    classes = {k: [w for w in c if w not in top and hmm.word_class(w) == k] for k in range(hmm.CLASSES)}
+    for r in rows:
+        syms, words = [], 0.0
+        for w in toks[r.doc_id]:
+            if w in top:
+                syms.append(top.index(w))
+            else:
+                k = hmm.word_class(w)
+                syms.append(15 + k)
+                words += math.log10((c[w] + 0.5) / (sum(c[x] + 0.5 for x in classes[k]) + 0.5))
+        syms.append(15 + hmm.CLASSES)
+        p = 0.0
+        if len(syms) <= 13:
+            for path in itertools.product(range(2), repeat=len(syms)):
+                x = start[path[0]] * emit[syms[0], path[0]]
+                for t in range(1, len(syms)):
+                    x *= move[path[t - 1], path[t]] * emit[syms[t], path[t]]
+                p += x
+            assert abs(r.score - (math.log10(p) + words)) < 1e-6
+
+
 def test_likelihood_rises_and_reruns_agree(make_docs, spark):
     docs = make_docs(corpus()[:120])
     a, b = (sorted((r.doc_id, round(r.score, 6)) for r in hmm.language_scores(docs, 2, 2).collect()) for _ in range(2))
