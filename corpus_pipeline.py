@@ -18,27 +18,49 @@ from tesselon.llm.queries import vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a quality rule go."""
+    """Documents that break a quality rule go.
+
+    Null and empty texts go; very long ones are judged whole; repeated rows are judged alike.  Further columns stay
+    as they are, whatever they are called.  An empty table stays empty.
+    """
     return quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, at a similarity of 0.8 or more, stays."""
+    """One document of each group of near copies, at a similarity of 0.8 or more, stays: the one with the smallest id.
+
+    Documents without words or without an id stay; of rows that share an id that stays one does.  Ties cannot occur
+    between ids.  Very long texts are compared whole.  Further columns stay; an empty table stays empty.
+    """
     return one_of_each_group(docs, 80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Each span of personal data is replaced by its kind; ``n_chars`` is counted anew.
+
+    A null text stays null, an empty one empty; very long texts are searched whole.  Of overlapping spans the one that
+    starts first is replaced and what the others hold beyond it goes with it.  Rows, repeated ones too, and further
+    columns stay; an empty table stays empty.
+    """
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document appears as often as the mix of sources takes it."""
+    """Each document appears as often as the mix of sources takes it, up to three times.
+
+    A null source is a source of its own.  Documents without words are taken no time.  Repeated rows are separate
+    documents; between documents of one source and size the hash of all columns decides.  Further columns stay;
+    an empty table stays empty.
+    """
     return mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of their decoded text."""
+    """Token counts and digests of the ids and of their decoded text, a row a document.
+
+    A null or empty text has no ids; very long texts are encoded whole, in constant memory.  Repeated rows each get a
+    row.  Only ``doc_id`` and ``text`` are read; an empty table gives an empty result.
+    """
     return roundtrip_digests(docs, vocabulary_path())
 
 

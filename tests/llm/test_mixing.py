@@ -106,34 +106,37 @@ def test_the_mix_does_not_depend_on_how_rows_lie(make_docs, monkeypatch):
     assert all(x == seen[0] for x in seen)
 
 
+def plain_copies(sizes, target, rate):
+    """Copies by size: systematic sampling by a loop over a source's documents, then the best single cell, as often as it helps."""
+    part, whole = rate - int(rate), int(rate)
+    take, k = {}, 0
+    for size in sorted(sizes, reverse=True):
+        k += 1
+        take[size] = take.get(size, 0) + int(k * part + 0.5) - int((k - 1) * part + 0.5)
+    n = {s: sizes.count(s) for s in take}
+    while True:
+        gap = target - sum(s * (n[s] * whole + take[s]) for s in n)
+        options = []
+        for s in n:
+            room = take[s] if gap < 0 else n[s] - take[s] if whole < 3 else 0
+            for m in range(1, room + 1 if s and abs(gap) > 0.5 else 1):
+                if abs(abs(gap) - m * s) < abs(gap) - 1e-6:
+                    options.append((abs(abs(gap) - m * s), -s, m))
+        if not options:
+            return {s: [whole] * (n[s] - take[s]) + [whole + 1] * take[s] for s in n}
+        _, s, m = min(options)
+        take[-s] += m if gap > 0 else -m
+
+
 def test_against_one_document_at_a_time(make_docs):
-    """Systematic sampling by a loop over the documents of each source, then the best single cell, as often as it helps."""
     texts, sources = corpus()
     got = {}
     for r in mix(make_docs(texts, sources)).collect():
         got.setdefault(r.source, []).append((r["size"], r.copies, r.target, r.rate))
     for rows in got.values():
-        target, rate = rows[0][2:]
-        part, whole = rate - int(rate), int(rate)
-        take, k = {}, 0
-        for size, *_ in sorted(rows, key=lambda r: -r[0]):
-            k += 1
-            take[size] = take.get(size, 0) + int(k * part + 0.5) - int((k - 1) * part + 0.5)
-        n = {s: sum(r[0] == s for r in rows) for s in take}
-        while True:
-            gap = target - sum(s * (n[s] * whole + take[s]) for s in n)
-            options = []
-            for s in n:
-                room = take[s] if gap < 0 else n[s] - take[s] if whole < 3 else 0
-                for m in range(1, room + 1 if s and abs(gap) > 0.5 else 1):
-                    if abs(abs(gap) - m * s) < abs(gap) - 1e-6:
-                        options.append((abs(abs(gap) - m * s), -s, m))
-            if not options:
-                break
-            _, s, m = min(options)
-            take[-s] += m if gap > 0 else -m
-        for s in n:
-            assert sorted(c for z, c, *_ in rows if z == s) == [whole] * (n[s] - take[s]) + [whole + 1] * take[s]
+        want = plain_copies([r[0] for r in rows], *rows[0][2:])
+        for size, copies in want.items():
+            assert sorted(c for z, c, *_ in rows if z == size) == copies
 
 
 def test_odd_rows(make_docs, spark):
