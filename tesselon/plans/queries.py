@@ -601,6 +601,124 @@ def feather_round_trip(spark, d):
     return g.df.select("c_custkey", g.y.alias("py"))
 
 
+@query("SELECT n_nationkey, n_name FROM nation")
+def read_file_rows(spark, d):
+    """A vector file written to the shared folder from the 25 rows of ``nation``, and read in ranges."""
+    import json
+
+    from tesselon.sources.arrowfiles import filesystem
+    from tesselon.sources.vector import read_file
+
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name").collect()
+    features = [{"type": "Feature", "properties": r.asDict(), "geometry": {"type": "Point", "coordinates": [r.n_nationkey, -r.n_nationkey]}} for r in rows]
+    fs, path = filesystem(_shared(spark) + ".geojson")
+    with fs.open_output_stream(path) as out:
+        out.write(json.dumps({"type": "FeatureCollection", "features": features}).encode())
+    f = read_file(spark, path, chunksize=7)
+    return f.filter(f.x == -f.y).df.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+
+
+@query("SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) + CAST(0.5 AS DOUBLE) AS cx FROM nation")
+def from_local(spark, d):
+    from tesselon.kernels import geometry as G
+
+    rows = [{"n_nationkey": r[0], "geometry": G.box(r[0], 0, r[0] + 1, 1)} for r in table(spark, d, "nation").select("n_nationkey").collect()]
+    c = GeoFrame.from_local(spark, rows, npartitions=3).centroid
+    return c.df.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), c.x.alias("cx"))
+
+
+# Relations with a constant, and what else frames offer
+
+@query(f"SELECT c_custkey FROM ({POINTS}) WHERE NOT (x BETWEEN -100 AND 100 AND y BETWEEN -50 AND 50)")
+def disjoint_points(spark, d):
+    p = points(spark, d)
+    return p.filter(p.disjoint("POLYGON ((-100 -50, 100 -50, 100 50, -100 50, -100 -50))")).df.select("c_custkey")
+
+
+@query(f"SELECT s_suppkey FROM ({GRID_A}) WHERE NOT (x0 <= 12 AND x1 >= 4 AND y0 <= 12 AND y1 >= 4)")
+def disjoint_polygons(spark, d):
+    g = polygons(grid_a(spark, d))
+    return g.filter(g.disjoint("POLYGON ((4 4, 12 4, 12 12, 4 12, 4 4))")).df.select("s_suppkey")
+
+
+@query(f"SELECT s_suppkey FROM ({GRID_A}) WHERE x0 >= 4 AND x1 <= 16 AND y0 >= 4 AND x1 + y1 <= 20")
+def within_triangle(spark, d):
+    """A constant that is no box: the box test goes to the scan, the kernel decides the rest."""
+    g = grid_a(spark, d)
+    return g.filter(g.within("POLYGON ((4 4, 16 4, 4 16, 4 4))")).df.select("s_suppkey")
+
+
+@query("SELECT c_custkey, c_acctbal AS z, true AS has_z FROM customer")
+def point_z(spark, d):
+    p = points_from_xy(table(spark, d, "customer").selectExpr("c_custkey", "CAST(c_custkey AS DOUBLE) AS x", "0D AS y", "c_acctbal AS h"), "x", "y", "h")
+    return p.df.select("c_custkey", p.z.alias("z"), p.has_z.alias("has_z"))
+
+
+@query(f"SELECT count(*) AS n, min(x) AS west FROM ({POINTS})")
+def set_index(spark, d):
+    s = points(spark, d).set_index("c_custkey", npartitions=4)
+    return s.df.agg(F.count("*").alias("n"), F.min("geometry__bbox.xmin").alias("west"))
+
+
+@query("SELECT CAST(count(*) AS DOUBLE) AS area FROM customer WHERE c_nationkey < 5")
+def unary_union_area(spark, d):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return tiles(spark, d).filter("c_nationkey < 5").unary_union().select(F.round(st.area("geometry"), 6).alias("area"))
+
+
+@query(f"SELECT p_partkey, round(w * h / 2, 6) AS area, 'Polygon' AS kind, true AS inside FROM ({TRIANGLES})")
+def sql_functions(spark, d):
+    st.register(spark)
+    return spark.sql(
+        "SELECT p_partkey, round(st_area(g), 6) AS area, st_geometrytype(g) AS kind, st_within(st_pointonsurface(g), g) AS inside "
+        "FROM (SELECT p_partkey, st_geomfromwkt(t) AS g FROM {t})",
+        t=_triangle_text(spark, d),
+    )
+
+
+def _triangle_text(spark, d) -> DataFrame:
+    df = _sql(spark, d, TRIANGLES, "part").withColumns({"x2": F.expr("x + w"), "y2": F.expr("y + h")})
+    return df.select("p_partkey", _wkt("POLYGON (({x} {y}, {x2} {y}, {x} {y2}, {x} {y}))").alias("t"))
+
+
+@query(f"SELECT x, y FROM ({POINTS}) WHERE c_nationkey < 15 INTERSECT SELECT x, y FROM ({POINTS}) WHERE c_nationkey >= 10 EXCEPT SELECT x, y FROM ({POINTS}) WHERE c_nationkey = 12")
+def set_operations(spark, d):
+    """Points are equal as values, so sets of them are Spark's own."""
+    p = points(spark, d)
+    some = lambda c: from_wkb(p.df.filter(c).select("geometry"), "geometry").df.select("geometry", "geometry__bbox")
+    got = GeoFrame(some("c_nationkey < 15").intersect(some("c_nationkey >= 10")).subtract(some("c_nationkey = 12")))
+    return got.df.select(got.x.alias("x"), got.y.alias("y"))
+
+
+@query(f"SELECT c_mktsegment, count(*) AS n FROM ({POINTS}) GROUP BY c_mktsegment")
+def map_partitions_counts(spark, d):
+    """A function over batches of pandas frames, then a sum of its partial counts."""
+
+    def count(batches):
+        for pdf in batches:
+            yield pdf.groupby("c_mktsegment").size().rename("n").reset_index()
+
+    return points(spark, d).map_partitions(count, "c_mktsegment string, n long").groupBy("c_mktsegment").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT user_id % 16 AS cell, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts_by_column(spark, d):
+    """The events as a stream of points in four columns and rows, counted by cell into the shared folder."""
+    from tesselon.streaming.stateless import stream_points
+
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    p = stream_points(rows.selectExpr("CAST(user_id % 4 AS DOUBLE) AS x", "CAST(user_id % 16 DIV 4 AS DOUBLE) AS y"), "x", "y")
+    cells = p.df.selectExpr("CAST(geometry__bbox.xmin + 4 * geometry__bbox.ymin AS BIGINT) AS cell")
+    path = _shared(spark)
+    q = cells.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("cell bigint").parquet(f"{path}/out").groupBy("cell").agg(F.count("*").alias("n"))
+
+
 @query("SELECT c_nationkey, CAST(count(*) AS DOUBLE) AS area FROM customer GROUP BY c_nationkey")
 def union_aggregate(spark, d):
     t = tiles(spark, d)

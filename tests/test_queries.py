@@ -15,7 +15,7 @@ def db():
     if not os.path.isdir(DATA):
         pytest.skip("no driver tables here")
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 
