@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from tesselon.kernels import geometry as G
 
 ROW_ID = "__row_id"
 BOX = ("xmin", "ymin", "xmax", "ymax")
+#: Boxes beyond this number are taken together when files are looked for.
+MANY_BOXES = 256
 
 
 def box_name(geometry: str) -> str:
@@ -44,11 +47,32 @@ def with_geometry(df: DataFrame, name: str, wkb: Column, box: Column, meta: dict
     return df.withMetadata(name, {"geo": {k: v for k, v in meta.items() if v is not None}})
 
 
+@dataclass(frozen=True)
+class Files:
+    """The files a frame is read from, each with its box, and how to read some of them in the same way."""
+
+    boxes: tuple[tuple[str, tuple[float, float, float, float]], ...]
+    read: Callable[[list[str]], GeoFrame]
+
+
 class GeoFrame:
-    def __init__(self, df: DataFrame, geometry: str = "geometry", extents: DataFrame | None = None):
+    def __init__(self, df: DataFrame, geometry: str = "geometry", extents: DataFrame | None = None, files: Files | None = None):
         if geometry not in df.columns or box_name(geometry) not in df.columns:
             raise ValueError(f"{geometry!r} is not a geometry column; use from_df or set_geometry")
-        self.df, self.name, self.extents = df, geometry, extents
+        self.df, self.name, self.extents, self.files = df, geometry, extents, files
+
+    def within_reach(self, boxes: Iterable[tuple[float, float, float, float]]) -> GeoFrame:
+        """The frame without the files whose box meets none of ``boxes``; frames not freshly read stay as they are."""
+        if self.files is None:
+            return self
+        boxes = list(boxes)
+        if len(boxes) > MANY_BOXES:
+            boxes = [(min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes))]
+        meets = lambda p: any(p[0] <= b[2] and b[0] <= p[2] and p[1] <= b[3] and b[1] <= p[3] for b in boxes)
+        kept = [path for path, box in self.files.boxes if meets(box)]
+        if len(kept) == len(self.files.boxes):
+            return self
+        return self.files.read(kept) if kept else GeoFrame(self.df.filter(F.lit(False)), self.name)
 
     # Construction
 

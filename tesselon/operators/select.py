@@ -32,7 +32,7 @@ class BoxIndexer:
         lo = lambda s: -inf if s.start is None else float(s.start)
         hi = lambda s: inf if s.stop is None else float(s.stop)
         b = (min(lo(xs), hi(xs)), min(lo(ys), hi(ys)), max(lo(xs), hi(xs)), max(lo(ys), hi(ys)))
-        f = self.frame
+        f = self.frame.within_reach([b])
         # Conjuncts on the companion reach the files' statistics; only boxes across the edge need the kernel.
         near = f.df.filter(_overlap(f.bbox, b))
         if f.meta.get("types") in (["Point"], ["Box"]):
@@ -66,6 +66,7 @@ def clip(frame: GeoFrame, mask, keep_geom_type: bool = False) -> GeoFrame:
         return frame.filter(F.lit(False))
     from tesselon.operators.frame import is_box
 
+    frame = frame.within_reach([b])
     near = frame.df.filter(_overlap(frame.bbox, b))
     wkb = G.to_wkb(g)
 

@@ -109,6 +109,12 @@ def sjoin(left: GeoFrame, right: GeoFrame, how: str = "inner", predicate: str =
     if how not in ("inner", "left", "semi", "anti"):
         raise NotImplementedError("how must be inner, left, semi or anti")
     lg, rg = left.name, right.name
+    # Files that no file of the other side can meet are not read; of the left side only where its rows may go.
+    reach = lambda f: [b for _, b in f.files.boxes]
+    if left.files is not None:
+        right = right.within_reach(reach(left))
+    if right.files is not None and how in ("inner", "semi"):
+        left = left.within_reach(reach(right))
     skip = {rg, box_name(rg)} | {c for g in geometry_columns(right.df) for c in (g, box_name(g))}
     values = [c for c in right.df.columns if c not in skip]
     clash = {c for c in values if c in left.df.columns}

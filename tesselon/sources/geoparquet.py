@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.functions import st
-from tesselon.operators.frame import GeoFrame, box_name, with_geometry
+from tesselon.operators.frame import Files, GeoFrame, box_name, with_geometry
 from tesselon.sources import arrowfiles, geometa
 
 
@@ -35,13 +35,14 @@ def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str]
     """A frame over GeoParquet files, with a table of the files' boxes where every file has one.
 
     ``columns`` selects (without geometry columns the result is a plain frame), ``filters`` is a column
-    condition or a list in disjunctive normal form.  Hive partitions are found by Spark.
+    condition or a list in disjunctive normal form.  Hive partitions are found by Spark.  The driver
+    holds the box of each file; slices, clips and joins of the frame leave out files that cannot matter.
     """
     import json
 
     paths = [path] if isinstance(path, str) else list(path)
-    df = spark.read.options(**options).parquet(*paths)
-    files = sorted(df.inputFiles())
+    raw = spark.read.options(**options).parquet(*paths)
+    files = sorted(raw.inputFiles())
     if not files:
         raise ValueError("No dataset parts discovered")
     listed = footers(spark, files if gather_spatial_partitions else files[:1]).collect()
@@ -49,28 +50,39 @@ def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str]
         raise ValueError("Missing geo metadata: a file has no 'geo' key")
     metas = [(r["path"], json.loads(r["geo"])) for r in listed]
     geo = metas[0][1]
-    if filters is not None:
-        df = df.filter(dnf(filters) if isinstance(filters, list) else filters)
-    geos = [g for g in geo["columns"] if g in df.columns]
-    wanted = columns or [c for c in df.columns if not any(c == box_name(g) for g in geos)]
-    have = [c for g in geos if g in wanted for c in (g, box_name(g)) if c in df.columns]
-    df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*wanted, *have])])
-    for g in geos:
-        if g in wanted:
-            box = F.col(f"`{box_name(g)}`") if box_name(g) in df.columns else st.bbox(g)
-            df = with_geometry(df, g, F.col(f"`{g}`"), box, {"crs": geometa.crs_of(geo["columns"][g])})
+    geos = [g for g in geo["columns"] if g in raw.columns]
+    wanted = columns or [c for c in raw.columns if not any(c == box_name(g) for g in geos)]
     active = geometry or geo["primary_column"]
     if active not in wanted:
         active = next((g for g in geos if g in wanted), None)
-    if active is None:
+
+    def shaped(df: DataFrame) -> DataFrame:
+        if filters is not None:
+            df = df.filter(dnf(filters) if isinstance(filters, list) else filters)
+        have = [c for g in geos if g in wanted for c in (g, box_name(g)) if c in df.columns]
+        df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*wanted, *have])])
+        for g in geos:
+            if g in wanted:
+                box = F.col(f"`{box_name(g)}`") if box_name(g) in df.columns else st.bbox(g)
+                df = with_geometry(df, g, F.col(f"`{g}`"), box, {"crs": geometa.crs_of(geo["columns"][g])})
         return df
-    extents = None
-    if gather_spatial_partitions:
-        boxes = [geometa.box_of(m["columns"].get(active, {})) for _, m in metas]
-        if all(boxes):
-            rows = [(i, p, *map(float, b)) for i, ((p, _), b) in enumerate(zip(metas, boxes))]
-            extents = spark.createDataFrame(rows, "partition_id int, path string, xmin double, ymin double, xmax double, ymax double")
-    return GeoFrame(df, active, extents)
+
+    if active is None:
+        return shaped(raw)
+    boxes = {p: geometa.box_of(m["columns"].get(active, {})) for p, m in metas} if gather_spatial_partitions else {}
+    boxes = {p: tuple(map(float, b)) for p, b in boxes.items() if b} if all(boxes.values()) else {}
+
+    def frame(some: list[str] | None) -> GeoFrame:
+        """All files, or some of them; hive columns come from the folders below the path that was given."""
+        base = {"basePath": paths[0]} if len(paths) == 1 and not any(c in paths[0] for c in "*?[{") and not paths[0].endswith(".parquet") else {}
+        df = shaped(raw if some is None else spark.read.options(**options, **base).schema(raw.schema).parquet(*some))
+        held = {p: boxes[p] for p in some or boxes if p in boxes}
+        if not held:
+            return GeoFrame(df, active)
+        extents = spark.createDataFrame([(i, p, *b) for i, (p, b) in enumerate(held.items())], "partition_id int, path string, xmin double, ymin double, xmax double, ymax double")
+        return GeoFrame(df, active, extents, Files(tuple(held.items()), frame))
+
+    return frame(None)
 
 
 def to_parquet(frame: GeoFrame, path: str, mode: str = "error", partition_on: str | list[str] | None = None, native: bool = False) -> None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselon.kernels import geometry as G
-from tesselon.operators.frame import GeoFrame
+from tesselon.operators.frame import GeoFrame, boxes_from_bounds, points_from_xy
 from tesselon.sources.geofeather import read_feather
 from tesselon.sources.geoparquet import read_parquet
 from tesselon.sources.vector import read_file
@@ -149,3 +149,26 @@ def test_shapefile(spark, tmp_path):
     assert g.crs == "EPSG:4326"
     with pytest.raises(ValueError):
         read_file(spark, "x.kml", npartitions=1)
+
+
+def test_slices_clips_and_joins_leave_files_out(spark, tmp_path):
+    """Files in two places: what meets one place only reads the files there, and hive columns stay."""
+    rows = [(i, float(i % 10), float(i % 7), i // 50) for i in range(100)] + [(i, 1000.0 + i % 10, float(i % 7), 2) for i in range(100, 150)]
+    p = points_from_xy(spark.createDataFrame(rows, "i int, x double, y double, part int"))
+    p.to_parquet(f"{tmp_path}/all", partition_on="part")
+    g = read_parquet(spark, f"{tmp_path}/all")
+    everything = len(g.df.inputFiles())
+    near = g.cx[995:1100, :]
+    assert 0 < len(near.df.inputFiles()) < everything
+    assert sorted((r.i, r.part) for r in near.df.collect()) == [(i, 2) for i in range(100, 150)]
+    cut = g.clip("POLYGON ((-5 -5, 50 -5, 50 50, -5 50, -5 -5))")
+    assert len(cut.df.inputFiles()) < everything and cut.df.count() == 100
+    assert g.cx[5000:6000, :].df.count() == 0
+    boxes_from_bounds(spark.createDataFrame([(0, 1000.0, 0.0, 1003.0, 9.0)], "j int, x0 double, y0 double, x1 double, y1 double"), "x0", "y0", "x1", "y1").to_parquet(f"{tmp_path}/boxes")
+    b = read_parquet(spark, f"{tmp_path}/boxes")
+    want = sorted(i for i, x, y, _ in rows if 1000 <= x <= 1003)
+    for how in ("inner", "semi", "left"):
+        out = g.sjoin(b, how=how, predicate="intersects").df
+        assert sorted(r.i for r in out.collect() if how != "left" or r.j is not None) == want
+        assert how == "left" or len(out.inputFiles()) < everything + 1
+    assert g.sjoin(b, how="left").df.count() == 150
