@@ -20,8 +20,9 @@ however long the text or its longest word is.
 Decoding.  Each id gives bytes; an incremental UTF-8 decoder turns them into text and holds at most
 three bytes between tokens.  Invalid bytes become U+FFFD, as in the library.
 
-Defined results.  Null reads as empty; an empty text has no ids and decodes to the empty text.
-Repeated rows each get a row; columns beyond ``doc_id`` and ``text`` are not read.
+Defined results.  Null reads as empty; an empty text has no ids and decodes to the empty text.  Texts of
+any length are encoded whole, through a buffer of bounded size.  Repeated rows each get a row, rows with
+a null id too.  An empty table gives an empty result.  Columns beyond ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@ Baum-Welch runs on segments of ``SEGMENT`` tokens; expected counts are summed in
 symbol across tasks.  Scores come from the scaled forward recursion over whole texts, which gives the
 exact likelihood of the sequence.
 
-Defined results.  Null and empty texts consist of the end token.  A null id is a training row.
-Repeated rows count and are scored each.  An empty training set gives uniform scores over nothing but
+Defined results.  Null and empty texts consist of the end token.  Very long texts are read in pieces and
+scored as one sequence.  A null id is a training row.  Repeated rows count and are scored each.  An empty training set gives uniform scores over nothing but
 the unseen type.  An empty table gives an empty result.  Only ``doc_id`` and ``text`` are read.
 """
 
@@ -331,7 +331,6 @@ def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
         unigram[voc.symbols + k] = 10 ** voc.log_z[k]
     unigram[voc.end] += n_docs
     unigram /= unigram.sum()
-    bounded_batches(spark)
     model, _ = train(encoded.filter(~held), voc.size, unigram, states, rounds)
     run, schema = _forward(sc.broadcast(model), kind)
     scored = encoded.select("rid", "doc_id", "n_tokens", "known", "base", "inner", "z", "sym").mapInArrow(run, schema)

@@ -3,8 +3,9 @@
 Counts are exact over whole texts.  Three-word windows are compared by a 64-bit hash of their words.
 
 Defined results.  A null or empty text has no words: every count is 0, ``base_failed`` is true and
-``kept`` false.  Repeated rows are judged separately.  Only ``doc_id`` and ``text`` are read, so
-other columns, whatever their names, play no part.
+``kept`` false.  Very long texts are judged whole; their arrays of words and windows grow with the text.
+Repeated rows are judged separately and alike, rows with a null id too.  An empty table gives an empty
+result.  Only ``doc_id`` and ``text`` are read, so other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
