@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.kernels import columns as K
 from tesselon.kernels import geometry as G
 from tesselon.kernels import measures as M
 from tesselon.kernels import topology as T
@@ -119,8 +120,23 @@ def is_point(wkb: Column | str) -> Column:
 
 # Measures and predicates of one geometry
 
-area = scalar(M.area, "double")
-length = scalar(M.length, "double")
+def _measure(columns: Callable, kernel: Callable):
+    """A measure whose values of one shape are computed together, the rest one by one."""
+
+    def run(s: pd.Series) -> pd.Series:
+        values = s.tolist()
+        out, left = columns(values)
+        found = pd.Series(out, dtype="Float64").mask(pd.Series([v is None for v in values], dtype=bool))
+        for i in left.tolist():
+            found[i] = kernel(G.from_wkb(bytes(values[i])))
+        return found.astype(object).where(found.notna(), None)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return lambda c: F.pandas_udf(run, "double")(_col(c))
+
+
+area = _measure(K.area, M.area)
+length = _measure(K.length, M.length)
 is_valid = scalar(T.is_valid, "boolean", False)
 is_simple = scalar(T.is_simple, "boolean", False)
 is_empty = scalar(lambda g: g.is_empty, "boolean", False)
@@ -163,7 +179,25 @@ def _same(g):
 
 normalize = builder(_same)
 boundary = builder(M.boundary)
-centroid = builder(M.centroid)
+def centroid(c: Column | str) -> Column:
+    """Centroids; those of values of one shape are computed together."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        values = s.tolist()
+        x, y, left = K.centroid(values)
+        rec = np.empty(len(values), np.dtype([("b", "u1"), ("t", "<u4"), ("x", "<f8"), ("y", "<f8")]))
+        rec["b"], rec["t"], rec["x"], rec["y"] = 1, 1, x, y
+        data, size = rec.tobytes(), rec.dtype.itemsize
+        rows = [_row(None) if v is None else (data[i * size : (i + 1) * size], *xy, *xy) for i, (v, xy) in enumerate(zip(values, zip(x.tolist(), y.tolist())))]
+        for i in left.tolist():
+            rows[i] = _row(M.centroid(G.from_wkb(bytes(values[i]))))
+        return pd.DataFrame(rows, columns=["wkb", "xmin", "ymin", "xmax", "ymax"])
+
+    return F.pandas_udf(run, BUILT)(_col(c))
+
+
 convex_hull = builder(M.convex_hull)
 envelope = builder(M.envelope)
 exterior = builder(M.exterior)
