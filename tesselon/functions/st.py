@@ -362,8 +362,17 @@ def union_agg(geoms: Column | str) -> Column:
     return F.pandas_udf(run, "binary")(_col(geoms))
 
 
+class Dump:
+    """Table function: the parts of a geometry, numbered from 0; a null or empty one has none."""
+
+    def eval(self, g: bytes):
+        if g is not None:
+            for i, part in enumerate(G.from_wkb(bytes(g)).parts()):
+                yield i, G.to_wkb(part)
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Makes the functions that need no constants callable from SQL as ``st_*``; names registered are returned."""
+    """Makes the functions that need no constants callable from SQL as ``st_*``, and ``st_dump`` as a table function; names registered are returned."""
 
     def one(f, returns, nulls=None):
         def run(s: pd.Series) -> pd.Series:
@@ -394,4 +403,5 @@ def register(spark: SparkSession) -> list[str]:
     made |= {f"st_{n.replace('_', '')}": two(wkb(_op(n)), "binary") for n in T.OPS}
     for name, f in made.items():
         spark.udf.register(name, f)
-    return sorted(made)
+    spark.udtf.register("st_dump", F.udtf(Dump, returnType="part: int, geometry: binary"))
+    return sorted([*made, "st_dump"])

@@ -277,6 +277,14 @@ class GeoFrame:
     def __repr__(self) -> str:
         return f"GeoFrame[{', '.join(self.columns)}; geometry={self.name}, crs={self.crs}]"
 
+    def _repr_html_(self) -> str:
+        """Columns and their types, without running anything."""
+        from html import escape
+
+        kinds = dict(self.df.dtypes)
+        rows = "".join(f"<tr><td>{escape(c)}</td><td>{'geometry' if c in geometry_columns(self.df) else escape(kinds[c])}</td></tr>" for c in self.columns)
+        return f"<table><caption>GeoFrame, geometry {escape(self.name)}, CRS {escape(str(self.crs))}</caption><tr><th>column</th><th>type</th></tr>{rows}</table>"
+
     # Measures: columns
 
     area = property(lambda self: st.area(self.geometry))

@@ -30,3 +30,12 @@ def test_sql_functions(spark):
     assert "st_area" in st.register(spark)
     r = spark.sql("select st_area(st_geomfromwkt('POLYGON((0 0,2 0,2 2,0 2,0 0))')) a, st_within(st_geomfromwkt('POINT(1 1)'), st_geomfromwkt('POLYGON((0 0,2 0,2 2,0 2,0 0))')) w, st_aswkt(st_centroid(st_geomfromwkt('LINESTRING(0 0,2 0)'))) c").first()
     assert (r.a, r.w, r.c) == (4.0, True, "POINT (1 0)")
+
+
+def test_dump_gives_a_row_a_part(spark):
+    st.register(spark)
+    spark.createDataFrame([(0, "MULTIPOINT ((0 0), (1 1), (2 2))"), (1, "POINT EMPTY"), (2, None), (3, "LINESTRING (0 0, 1 1)")], "i int, w string").createOrReplaceTempView("shapes")
+    rows = spark.sql("SELECT i, d.part, st_aswkt(d.geometry) AS w FROM shapes, LATERAL st_dump(st_geomfromwkt(w)) d ORDER BY i, part").collect()
+    assert [(r.i, r.part, r.w) for r in rows] == [(0, 0, "POINT (0 0)"), (0, 1, "POINT (1 1)"), (0, 2, "POINT (2 2)"), (3, 0, "LINESTRING (0 0, 1 1)")]
+    html = GeoFrame.from_local(spark, [{"name": "<a>", "geometry": G.point(0, 0)}])._repr_html_()
+    assert "<table" in html and "geometry" in html and "__bbox" not in html
