@@ -89,8 +89,8 @@ def tilted_sources(sources: DataFrame) -> DataFrame:
     step = lambda lam, _: lam + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("target") / mass(lam) - 1.0))
     lam = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_ROUNDS)), F.lit(0.0), step)
     rate = F.when((F.col("size") > 0) & (F.col("target") > 0), F.least(F.lit(float(MAX_COPIES)), F.exp(lam))).otherwise(0.0)
-    s = sources.withColumn("rate", rate)
-    # Rates within rounding error of a whole number are that number.
+    # The last bits of the iteration decide nothing, and rates within rounding error of a whole number are that number.
+    s = sources.withColumn("rate", F.round(rate, 12))
     return s.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-7, F.round("rate")).otherwise(F.col("rate")))
 
 
@@ -173,7 +173,7 @@ def mix(rows: DataFrame, row_id: str | None = None, content: tuple[str, ...] = (
     """
     scratch = Scratch(rows.sparkSession, "mix")
     carried = [] if row_id is None else [F.col(f"`{row_id}`").alias("row_id")]
-    base = rows.select(*carried, "doc_id", "source", group_key(F.col("source")).alias("g"), word_count(F.col("text")).alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in content]).alias("h"))
+    base = rows.select(*carried, "doc_id", "source", group_key(F.col("source")).alias("g"), word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("\x01", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in content])).alias("h"))
     base = scratch.write(base, "sizes")
     sizes = scratch.write(base.groupBy("g", "size").agg(F.count("*").alias("n")), "cells")
     sources = numbered(sizes.groupBy("g").agg(F.sum(F.col("size") * F.col("n")).alias("size")), scratch)
@@ -188,12 +188,12 @@ def mix(rows: DataFrame, row_id: str | None = None, content: tuple[str, ...] = (
 
     # The rank of each document in its cell, by its hash; cells of many rows are ranked in slices of the hash's range.
     slices = F.ceil(F.col("n") / SLICE_ROWS)
-    at = F.shiftrightunsigned("h", 11)
-    d = base.join(cells, ["g", "size"]).withColumns({"slice": F.least(F.floor(at / F.lit(2.0**53) * slices), slices - 1), "slices": slices})
+    at = F.conv(F.substring("h", 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    d = base.join(cells, ["g", "size"]).withColumns({"slice": F.least(F.floor(at * slices), slices - 1), "slices": slices})
     counts = d.filter("slices > 1").groupBy("g", "size", "slice").agg(F.count("*").alias("k"))
     ahead = F.sum("k").over(Window.partitionBy("g", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("g", "size", "slice", F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("g", "size", "slice").orderBy(at, "h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("g", "size", "slice").orderBy("h", "doc_id"))
     d = d.withColumn("k", rank).join(counts, ["g", "size", "slice"], "left")
     copies = F.col("whole") + (F.col("k") + F.coalesce("ahead", F.lit(0)) <= F.col("take")).cast("long")
     d = d.withColumn("copies", copies)

@@ -139,5 +139,52 @@ c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
 
 
+_MIX_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || chr(1) || t) AS h
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+s AS (SELECT source, sum(size)::BIGINT AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+level AS (
+  SELECT 0 AS it, sum(size)::HUGEINT AS lft, sum(w)::HUGEINT AS total, 0 AS n FROM s
+  UNION ALL
+  SELECT it + 1, sum(size) - 3 * coalesce(sum(size) FILTER (high), 0), sum(w) FILTER (NOT high), count(*) FILTER (high)
+  FROM (SELECT it, n, size, w, lft * w > 3 * size::HUGEINT * total AS high FROM level, s)
+  GROUP BY it, n HAVING count(*) FILTER (high) <> n AND count(*) FILTER (NOT high) > 0),
+t AS (
+  SELECT source, size AS source_size, CASE WHEN lft * w > 3 * size::HUGEINT * total THEN (3 * size)::DOUBLE ELSE w::DOUBLE * (lft::DOUBLE / total::DOUBLE) END AS target
+  FROM s, (SELECT lft, total FROM level ORDER BY it DESC LIMIT 1)),
+e AS (SELECT *, CASE WHEN source_size > 0 AND target > 0 THEN round(least(3, target / source_size), 12) ELSE 0 END AS e FROM t),
+r AS (SELECT source, source_size, target, CASE WHEN abs(e - round(e)) < 1e-7 THEN round(e) ELSE e END AS rate FROM e),
+b AS (
+  SELECT source, size, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, size, count(*) AS n FROM d GROUP BY source, size)),
+c AS (
+  SELECT r.source, size, n, source_size, target, floor(rate)::BIGINT AS whole,
+    (floor((before + n) * (rate - floor(rate)) + 0.5) - floor(before * (rate - floor(rate)) + 0.5))::BIGINT AS take
+  FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source),
+x AS (
+  SELECT 0 AS it, * FROM c
+  UNION ALL
+  SELECT it + 1, source, size, n, source_size, target, whole, take + CASE WHEN best.s = -size THEN best.p ELSE 0 END
+  FROM (
+    SELECT *, min(list_min([CASE WHEN l < abs(gap) - 1e-6 THEN {{'l': l, 's': -size, 'p': (m * sign(gap))::BIGINT}} END,
+                            CASE WHEN l2 < abs(gap) - 1e-6 THEN {{'l': l2, 's': -size, 'p': (m2 * sign(gap))::BIGINT}} END])) OVER (PARTITION BY source) AS best
+    FROM (
+      SELECT *, CASE WHEN room > 0 AND size > 0 AND abs(gap) > 0.5 THEN abs(abs(gap) - m * size) END AS l,
+        CASE WHEN room > 0 AND size > 0 AND abs(gap) > 0.5 THEN abs(abs(gap) - m2 * size) END AS l2
+      FROM (
+        SELECT *, least(room, greatest(1, floor(abs(gap) / greatest(size, 1))))::BIGINT AS m, least(room, floor(abs(gap) / greatest(size, 1)) + 1)::BIGINT AS m2
+        FROM (
+          SELECT *, CASE WHEN gap < 0 THEN take WHEN whole < 3 THEN n - take ELSE 0 END AS room
+          FROM (SELECT *, target - sum(size * (n * whole + take)) OVER (PARTITION BY source) AS gap FROM x)))))
+  WHERE best IS NOT NULL),
+f AS (SELECT * FROM x QUALIFY it = max(it) OVER (PARTITION BY source)),
+k AS (
+  SELECT doc_id, d.size, f.source_size, f.target, d.source,
+    f.whole + CASE WHEN row_number() OVER (PARTITION BY d.source, d.size ORDER BY h, doc_id NULLS FIRST) <= f.take THEN 1 ELSE 0 END AS copies
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.size = f.size)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _quality_sql(), "op5_near_duplicates": _NEAR_SQL}
+    return {"op3_quality_rules": _quality_sql(), "op5_near_duplicates": _NEAR_SQL, "op6_source_mixing": _MIX_SQL}
