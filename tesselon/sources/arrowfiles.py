@@ -27,19 +27,26 @@ class Part(WriterCommitMessage):
     partition: int
 
 
-def filesystem(path: str):
+def filesystem(path: str, storage: dict | None = None):
+    """(file system, path in it).  ``storage`` are arguments of pyarrow's file system class for the path's scheme."""
     import pyarrow.fs as pafs
 
+    scheme = path.split("://", 1)[0].lower() if "://" in path else "file"
+    if storage:
+        kinds = {"s3": "S3FileSystem", "gs": "GcsFileSystem", "gcs": "GcsFileSystem", "abfs": "AzureFileSystem", "abfss": "AzureFileSystem", "hdfs": "HadoopFileSystem"}
+        if scheme not in kinds:
+            raise ValueError(f"storage_options have no meaning for {scheme}://")
+        return getattr(pafs, kinds[scheme])(**storage), path.split("://", 1)[1]
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.kind, self.geo = options["path"].rstrip("/"), options.get("kind", "parquet"), options["geo"]
-        self.by = json.loads(options.get("by", "[]"))
+        self.by, self.storage = json.loads(options.get("by", "[]")), json.loads(options.get("storage", "{}"))
         self.job, self.overwrite = uuid.uuid4().hex, overwrite
         self.extension = "parquet" if self.kind == "parquet" else "feather"
-        fs, root = filesystem(self.path)
+        fs, root = filesystem(self.path, self.storage)
         fs.create_dir(root, recursive=True)
 
     def write(self, iterator):
@@ -52,7 +59,7 @@ class Writer(DataSourceArrowWriter):
 
         context = TaskContext.get()
         number = context.partitionId() if context else 0
-        fs, root = filesystem(self.path)
+        fs, root = filesystem(self.path, self.storage)
         geo = json.loads(self.geo)
         fresh = lambda: f"{root}/_{self.job}-{number}-{uuid.uuid4().hex}"
         if self.kind == "parquet":
@@ -106,7 +113,7 @@ class Writer(DataSourceArrowWriter):
             yield folder, table.filter(mask).select(rest).combine_chunks().to_batches()[0]
 
     def commit(self, messages):
-        fs, root = filesystem(self.path)
+        fs, root = filesystem(self.path, self.storage)
         if self.overwrite:
             # What was there goes once all new files are complete, so a failed job leaves it and the job may read it.
             import pyarrow.fs as pafs
@@ -132,7 +139,7 @@ class Writer(DataSourceArrowWriter):
         return max((int(m[1]) + 1 for m in names if m), default=0)
 
     def abort(self, messages):
-        fs, _ = filesystem(self.path)
+        fs, _ = filesystem(self.path, self.storage)
         for m in messages:
             for name, _ in m.files if m else ():
                 fs.delete_file(name)
@@ -150,7 +157,7 @@ class GeoFiles(DataSource):
         return Writer(dict(self.options), overwrite)
 
 
-def write(df, path: str, geo: dict, kind: str, mode: str, by: list[str] | None = None) -> None:
+def write(df, path: str, geo: dict, kind: str, mode: str, by: list[str] | None = None, storage: dict | None = None) -> None:
     spark = df.sparkSession
     spark.dataSource.register(GeoFiles)
-    df.write.format("tesselon-files").mode("overwrite" if mode == "overwrite" else "append").option("path", path).option("kind", kind).option("geo", json.dumps(geo)).option("by", json.dumps(by or [])).save()
+    df.write.format("tesselon-files").mode("overwrite" if mode == "overwrite" else "append").option("path", path).option("kind", kind).option("geo", json.dumps(geo)).option("by", json.dumps(by or [])).option("storage", json.dumps(storage or {})).save()

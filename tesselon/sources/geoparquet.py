@@ -10,10 +10,13 @@ from tesselon.operators.frame import Files, GeoFrame, box_name, with_geometry
 from tesselon.sources import arrowfiles, geometa
 
 
-def footers(spark: SparkSession, files: list[str], kind: str = "parquet") -> DataFrame:
-    """path and the ``geo`` text of each file; read on the executors."""
+def footers(spark: SparkSession, files: list[str], kind: str = "parquet", storage: dict | None = None) -> DataFrame:
+    """path, the ``geo`` text (of the first file only; null where a file has none, empty for the others) and the boxes by column as JSON; read on the executors."""
+    first = files[0]
 
     def run(batches):
+        import json
+
         import pandas as pd
         import pyarrow as pa
         import pyarrow.parquet as pq
@@ -21,14 +24,17 @@ def footers(spark: SparkSession, files: list[str], kind: str = "parquet") -> Dat
         for pdf in batches:
             rows = []
             for path in pdf["path"]:
-                fs, p = arrowfiles.filesystem(path)
+                fs, p = arrowfiles.filesystem(path, storage)
                 with fs.open_input_file(p) as f:
                     meta = pq.read_metadata(f).metadata if kind == "parquet" else pa.ipc.open_file(f).schema.metadata
-                rows.append((path, (meta or {}).get(b"geo", b"").decode() or None))
-            yield pd.DataFrame(rows, columns=["path", "geo"])
+                geo = (meta or {}).get(b"geo", b"").decode() or None
+                # A file's text may hold a long description of its CRS; of the others only the boxes go to the driver.
+                boxes = {g: geometa.box_of(c) for g, c in json.loads(geo)["columns"].items()} if geo else {}
+                rows.append((path, geo if geo is None or path == first else "", json.dumps(boxes)))
+            yield pd.DataFrame(rows, columns=["path", "geo", "boxes"])
 
     n = max(1, min(len(files), spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame([(f,) for f in files], "path string").repartition(n).mapInPandas(run, "path string, geo string")
+    return spark.createDataFrame([(f,) for f in files], "path string").repartition(n).mapInPandas(run, "path string, geo string, boxes string")
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, filters=None, geometry: str | None = None, gather_spatial_partitions: bool = True, **options) -> GeoFrame | DataFrame:
@@ -48,8 +54,7 @@ def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str]
     listed = footers(spark, files if gather_spatial_partitions else files[:1]).collect()
     if any(r["geo"] is None for r in listed):
         raise ValueError("Missing geo metadata: a file has no 'geo' key")
-    metas = [(r["path"], json.loads(r["geo"])) for r in listed]
-    geo = metas[0][1]
+    geo = json.loads(next(r["geo"] for r in listed if r["geo"]))
     geos = [g for g in geo["columns"] if g in raw.columns]
     wanted = columns or [c for c in raw.columns if not any(c == box_name(g) for g in geos)]
     active = geometry or geo["primary_column"]
@@ -69,7 +74,7 @@ def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str]
 
     if active is None:
         return shaped(raw)
-    boxes = {p: geometa.box_of(m["columns"].get(active, {})) for p, m in metas} if gather_spatial_partitions else {}
+    boxes = {r["path"]: json.loads(r["boxes"]).get(active) for r in sorted(listed, key=lambda r: r["path"])} if gather_spatial_partitions else {}
     boxes = {p: tuple(map(float, b)) for p, b in boxes.items() if b} if all(boxes.values()) else {}
 
     def frame(some: list[str] | None) -> GeoFrame:
@@ -85,25 +90,25 @@ def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str]
     return frame(None)
 
 
-def to_parquet(frame: GeoFrame, path: str, mode: str = "error", partition_on: str | list[str] | None = None, native: bool = False) -> None:
+def to_parquet(frame: GeoFrame, path: str, mode: str = "error", partition_on: str | list[str] | None = None, native: bool = False, storage_options: dict | None = None) -> None:
     """One file a partition, with ``geo`` metadata, file boxes and a covering of each row's box.
 
     ``partition_on`` writes hive folders; a task opens one file for each value it holds.  ``native`` uses Spark's writer,
-    which is faster and cannot add the metadata.
+    which is faster and cannot add the metadata.  ``storage_options`` are arguments of pyarrow's file system.
     """
     if native:
         frame.df.write.mode(mode).parquet(path)
         return
-    _free(frame.df.sparkSession, path, mode)
+    _free(path, mode, storage_options)
     geo = geometa.describe(frame)
     by = [partition_on] if isinstance(partition_on, str) else list(partition_on or [])
-    arrowfiles.write(frame.df, path, geo, "parquet", mode, by)
+    arrowfiles.write(frame.df, path, geo, "parquet", mode, by, storage_options)
 
 
-def _free(spark: SparkSession, path: str, mode: str) -> None:
+def _free(path: str, mode: str, storage: dict | None = None) -> None:
     import pyarrow.fs as pafs
 
-    fs, root = arrowfiles.filesystem(path)
+    fs, root = arrowfiles.filesystem(path, storage)
     if mode in ("error", "errorifexists") and fs.get_file_info(root).type != pafs.FileType.NotFound:
         raise ValueError(f"{path} exists already; pass mode='overwrite' or 'append'")
 

@@ -172,3 +172,38 @@ def test_slices_clips_and_joins_leave_files_out(spark, tmp_path):
         assert sorted(r.i for r in out.collect() if how != "left" or r.j is not None) == want
         assert how == "left" or len(out.inputFiles()) < everything + 1
     assert g.sjoin(b, how="left").df.count() == 150
+
+
+def test_slices_of_feather_leave_files_out(spark, tmp_path):
+    p = points_from_xy(spark.createDataFrame([(i, float(i), 0.0) for i in range(100)], "i int, x double, y double").repartitionByRange(5, "i"))
+    p.to_feather(f"{tmp_path}/f")
+    g = read_feather(spark, f"{tmp_path}/f")
+    assert len(g.files.boxes) == 5 and len(g.within_reach([(90, 0, 95, 0)]).files.boxes) < 3
+    assert sorted(r.i for r in g.cx[90:95, :].df.collect()) == list(range(90, 96))
+
+
+def test_storage_options_go_to_the_file_system_of_the_scheme(monkeypatch, tmp_path):
+    import pyarrow.fs as pafs
+
+    from tesselon.sources import arrowfiles
+
+    seen = []
+    monkeypatch.setattr(pafs, "S3FileSystem", lambda **kw: seen.append(kw) or pafs.LocalFileSystem())
+    fs, path = arrowfiles.filesystem("s3://bucket/some/file", {"region": "here", "anonymous": True})
+    assert seen == [{"region": "here", "anonymous": True}] and path == "bucket/some/file"
+    with pytest.raises(ValueError):
+        arrowfiles.filesystem(str(tmp_path), {"region": "here"})
+
+
+def test_a_failed_overwrite_leaves_what_was_there(spark, tmp_path):
+    path = f"{tmp_path}/kept"
+    p = points_from_xy(spark.createDataFrame([(i, float(i), 0.0) for i in range(10)], "i int, x double, y double"))
+    p.to_parquet(path)
+    bad = p.assign(i=F.when(F.col("i") == 7, F.raise_error(F.lit("stop")).cast("int")).otherwise(F.col("i")))
+    with pytest.raises(Exception, match="stop"):
+        bad.to_parquet(path, mode="overwrite")
+    assert read_parquet(spark, path).df.count() == 10
+    # Reading from the place that is written to works as well.
+    half = read_parquet(spark, path)
+    half.filter("i < 5").to_parquet(path, mode="overwrite")
+    assert sorted(r.i for r in read_parquet(spark, path).df.collect()) == list(range(5))
