@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None
     held = label.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps"))
     rest = label.join(held.filter("comps > 1").select("bucket", F.col("m.comp").alias("main")), "bucket")
     # Only components are joined further, by links between them.
-    found = _across(rest, nodes, sets, percent)
+    found = _across(rest, nodes, sets, percent, scratch)
     joined = scratch.write(connected_components(found, scratch, "cc2"), "joined")
     scratch.keep_only(feats, nodes, comp, joined)
 
@@ -151,15 +151,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between components that a bucket of ``rest`` (bucket, node, comp, and the bucket's main component) shows."""
     # Of the texts of one id those that fell into the bucket.
     rows = rest.join(nodes, "node").withColumn("at", F.array_position("bands", F.col("bucket")).cast("int")).filter("at > 0")
-    rows = rows.withColumn("head", F.slice("bands", 1, F.col("at") - 1)).drop("bands", "at").join(sets, ["node", "digest"])
-    p, q = rows.filter("comp <> main").alias("p"), rows.alias("q")
-    apart = (F.col("p.comp") < F.col("q.comp")) | ((F.col("q.comp") == F.col("q.main")) & (F.col("p.comp") != F.col("q.comp")))
-    first = ~F.arrays_overlap("p.head", "q.head")
-    met = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & apart & _may_link("p", "q", percent) & first & _linked(F.col("p.items"), F.col("q.items"), percent))
+    rows = scratch.write(rows.withColumn("head", F.slice("bands", 1, F.col("at") - 1)).drop("bands", "at"), "rest")
+
+    def may_meet(p: str, q: str) -> Column:
+        """Whether a row outside the main component may be linked with another row of its bucket."""
+        x, y = (lambda c: F.col(f"{p}.{c}")), (lambda c: F.col(f"{q}.{c}"))
+        apart = (x("comp") < y("comp")) | ((y("comp") == y("main")) & (x("comp") != y("comp")))
+        return (x("bucket") == y("bucket")) & apart & _may_link(p, q, percent) & ~F.arrays_overlap(x("head"), y("head"))
+
+    # Only rows that may meet another one take their sets along.
+    p, q = rows.filter("comp <> main"), rows
+    near_p = p.alias("p").join(q.alias("q"), may_meet("p", "q"), "left_semi").join(sets, ["node", "digest"])
+    near_q = q.alias("q").join(p.alias("p"), may_meet("p", "q"), "left_semi").join(sets, ["node", "digest"])
+    met = near_p.alias("p").join(near_q.alias("q"), may_meet("p", "q") & _linked(F.col("p.items"), F.col("q.items"), percent))
     return met.select(F.greatest("p.comp", "q.comp").alias("a"), F.least("p.comp", "q.comp").alias("b")).distinct()
 
 
