@@ -14,6 +14,8 @@ from tesselon.operators.frame import ROW_ID, GeoFrame, box_name, geometry_column
 
 #: Geometries united at once by one task before it passes a partial union on.
 CHUNK = 512
+#: Unions of one size that are united with each other.
+FAN = 8
 #: Bytes of WKB that a task holds over all its keys before it passes its partial unions on.
 HELD_BYTES = 64 << 20
 SALTS = 64
@@ -24,6 +26,26 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
 }
 
 
+class Tiers:
+    """Geometries of one key on their way to a union: ``CHUNK`` are united at once, then ``FAN`` unions of about one size, so
+    each geometry is united a number of times that is logarithmic in how many there are."""
+
+    def __init__(self):
+        self.tiers: list[list[G.Geom]] = [[]]
+
+    def add(self, g: G.Geom) -> None:
+        for k in range(len(self.tiers) + 1):
+            if k == len(self.tiers):
+                self.tiers.append([])
+            self.tiers[k].append(g)
+            if len(self.tiers[k]) < (FAN if k else CHUNK):
+                return
+            g, self.tiers[k] = T.union_all(self.tiers[k]), []
+
+    def union(self) -> G.Geom:
+        return T.union_all([g for tier in self.tiers for g in tier])
+
+
 def partial_unions(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
     """Per task and key the union of the geometries it sees, in chunks: what is shuffled afterwards is partial unions only.
 
@@ -34,11 +56,11 @@ def partial_unions(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
     def run(batches):
         import pandas as pd
 
-        held: dict[tuple, list[G.Geom]] = {}
+        held: dict[tuple, Tiers] = {}
         size = 0
 
         def united():
-            rows = [(*k, G.to_wkb(T.union_all(v))) for k, v in held.items()]
+            rows = [(*k, G.to_wkb(v.union())) for k, v in held.items()]
             held.clear()
             return pd.DataFrame(rows, columns=[*keys, geometry])
 
@@ -47,11 +69,8 @@ def partial_unions(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
                 *key, b = row
                 if b is None:
                     continue
-                parts = held.setdefault(tuple(key), [])
-                parts.append(G.from_wkb(bytes(b)))
+                held.setdefault(tuple(key), Tiers()).add(G.from_wkb(bytes(b)))
                 size += len(b)
-                if len(parts) >= CHUNK:
-                    parts[:] = [T.union_all(parts)]
                 if size >= HELD_BYTES:
                     yield united()
                     size = 0

@@ -80,8 +80,26 @@ def test_partial_unions_of_many_keys_are_passed_on(spark, monkeypatch):
     from tesselon.kernels import topology as T
 
     monkeypatch.setattr(aggregate, "HELD_BYTES", 300)
+    monkeypatch.setattr(aggregate, "CHUNK", 2)
+    monkeypatch.setattr(aggregate, "FAN", 2)
     rows = [(k % 7, G.to_wkb(G.box(k, 0, k + 1, 1))) for k in range(70)]
     df = spark.createDataFrame(rows, "k int, geometry binary").coalesce(1)
     parts = aggregate.partial_unions(df, ["k"], "geometry").collect()
     assert len(parts) > 7
     assert all(len(T.union_all([G.from_wkb(bytes(r.geometry)) for r in parts if r.k == k]).parts()) == 10 for k in range(7))
+
+
+def test_a_key_of_many_geometries_is_united_in_tiers(monkeypatch):
+    import tesselon.kernels.geometry as G
+    from tesselon.kernels import topology as T
+
+    seen = []
+    unite = T.union_all
+    monkeypatch.setattr(T, "union_all", lambda g: seen.append(len(g)) or unite(g))
+    tiers = aggregate.Tiers()
+    n = 512 * 20 + 7
+    for k in range(n):
+        tiers.add(G.box(2 * k, 0, 2 * k + 1, 1))
+    assert len(tiers.union().parts()) == n
+    # 20 unions of 512, two of eight unions, and what is left at the end.
+    assert sorted(seen) == [8, 8, 2 + 4 + 7] + [512] * 20
