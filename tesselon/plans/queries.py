@@ -704,6 +704,29 @@ def map_partitions_counts(spark, d):
     return points(spark, d).map_partitions(count, "c_mktsegment string, n long").groupBy("c_mktsegment").agg(F.sum("n").alias("n"))
 
 
+@query("SELECT count(*) AS n, count(*) AS length, 4 AS parts, 3 AS head FROM customer")
+def partitions_add_up(spark, d):
+    p = points(spark, d).repartition(4)
+    each = [p.partition(i).df.agg(F.count("*").alias("n")) for i in range(p.npartitions)]
+    n = concat_counts(each)
+    return n.select("n", F.lit(len(p)).cast("long").alias("length"), F.lit(len(each)).alias("parts"), F.lit(len(p.head(3))).alias("head"))
+
+
+def concat_counts(frames: list[DataFrame]) -> DataFrame:
+    from functools import reduce
+
+    return reduce(DataFrame.unionAll, frames).agg(F.sum("n").alias("n"))
+
+
+@query("SELECT n_nationkey, n_nationkey * 2.0::DOUBLE AS px FROM nation")
+def plain_and_local_frames(spark, d):
+    """To a plain frame and back, and to a local frame and back: the 25 rows of ``nation``."""
+    p = points_from_xy(table(spark, d, "nation").selectExpr("n_nationkey", "n_nationkey * 2D AS x", "0D AS y"), crs="EPSG:4326")
+    local = GeoFrame.from_df(p.to_df(), crs="EPSG:4326").copy().compute()
+    g = GeoFrame.from_local(spark, local[["n_nationkey", "geometry"]], crs="EPSG:4326", chunksize=10)
+    return g.df.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), g.x.alias("px"))
+
+
 @query("SELECT user_id % 16 AS cell, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts_by_column(spark, d):
     """The events as a stream of points in four columns and rows, counted by cell into the shared folder."""
