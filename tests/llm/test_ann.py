@@ -40,7 +40,7 @@ def test_recall_and_exact_scores(spark):
 def test_common_vector_odd_rows_and_few_candidates(spark):
     nan = float("nan")
     rows = [(i, [1.0, 2.0], 0, "s", "r") for i in range(30)]
-    rows += [(100, None, 0, "s", "r"), (150, [], 0, "s", "r"), (200, [0.0, 0.0], 0, "s", "r"), (250, [nan, 1.0], 0, "s", "r"), (300, [None, 1.0], 0, "s", "r"), (None, [1.0, 1.0], 0, "s", "r")]
+    rows += [(100, None, 0, "s", "r"), (150, [], 0, "s", "r"), (200, [0.0, 0.0], 0, "s", "r"), (250, [nan, 1.0], 0, "s", "r"), (300, [None, 1.0], 0, "s", "r"), (310, [float("inf"), 1.0], 0, "s", "r"), (311, [1.0, float("-inf")], 0, "s", "r"), (312, [None, nan], 0, "s", "r"), (313, [-0.0, 0.0], 0, "s", "r"), (None, [1.0, 1.0], 0, "s", "r")]
     rows += [(350, [2.0, -1.0], 0, "s", "r"), (350, [2.0, -1.0], 0, "s", "r"), (400, [1.0, 2.0, 3.0], 0, "s", "r"), (450, [1.0, 2.0, 2.9], 0, "s", "r")]
     t = frame(spark, rows)
     got = {}

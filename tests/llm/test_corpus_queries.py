@@ -45,3 +45,20 @@ def test_query_has_its_columns_and_rows(spark, db, name):
     assert set(COLUMNS[name]) <= set(df.columns)
     n = df.count()
     assert n == (spark.read.parquet(f"{DATA}/documents.parquet").count() if name[2] != "2" else n) and n > 0
+
+
+def test_token_counts_join_a_lasting_cache(spark, db, tmp_path):
+    """Where a cache is named, a second run of the query joins all its counts and encodes nothing."""
+    from tesselon.llm import queries as Q
+    from tesselon.llm.token_counts import tokenizer_version
+
+    spark.conf.set("spark.tesselon.tokenCache", f"file://{tmp_path}/cache")
+    try:
+        runs = []
+        for _ in range(2):
+            rows = sorted(tuple(r) for r in Q.op1_token_counts(spark, DATA).collect())
+            stored = spark.read.parquet(f"file://{tmp_path}/cache/{tokenizer_version(Q.vocabulary_path())}")
+            runs.append((rows, stored.count(), stored.select("digest").distinct().count()))
+        assert runs[0] == runs[1] and runs[0][1] == runs[0][2] > 0
+    finally:
+        spark.conf.unset("spark.tesselon.tokenCache")
