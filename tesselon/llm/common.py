@@ -113,7 +113,7 @@ def pieces(text: str, size: int = PIECE):
 
 #: Rows and bytes of an Arrow batch, and with them what a Python worker holds.  One value for all operators: results are
 #: lazy, so a setting of one operator would reach the frames of another that have not run yet.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
