@@ -8,11 +8,13 @@
 3. In buckets that still hold several components the members outside the largest one meet the others,
    and their sets are intersected inside the join, which gives out links only.  A pair is compared in the
    first bucket that it shares.  Pairs within the largest component are never tried, so a group of copies
-   costs a star, not its square; hot buckets are split by adaptive skew handling.
+   costs a star, not its square; hot buckets are split by adaptive skew handling.  Before two sets are
+   intersected the parities of their hashes over ``PARITY`` places are compared, which differ in no more
+   bits than the sets differ in elements: most pairs of a group below the threshold end there.
 
 Bands are as selective as leaves a pair at the threshold without a common band with probability
 ``MISS`` at most.  A candidate is passed over only when its signatures are over 6 standard deviations
-from what the threshold gives or its set sizes rule the link out.  Verification compares complete sets.
+from what the threshold gives, or its set sizes or parities rule the link out.  Verification compares complete sets.
 
 Defined results.  Null, empty and blank texts have no shingles, are linked with nothing and kept.
 Very long texts take part whole.  Rows with a null ``doc_id`` have no identity to report: they link
@@ -36,6 +38,8 @@ from tesselon.llm.components import connected_components
 
 SHINGLE = 5
 COORDINATES = 256
+#: Bits of a set's parities.
+PARITY = 1024
 MISS = 3e-6
 SIGMAS = 6.0
 #: Centres that each node verifies first.
@@ -47,7 +51,7 @@ def banding(percent: int) -> tuple[int, int]:
     return next((COORDINATES // r, r) for r in range(COORDINATES, 0, -1) if (1 - (percent / 100) ** r) ** (COORDINATES // r) <= MISS)
 
 
-_FEATURES = "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+_FEATURES = "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, bands array<long>, parity array<long>"
 
 
 def _features(batches, percent: int):
@@ -59,20 +63,22 @@ def _features(batches, percent: int):
     for b in batches:
         sets = S.shingle_sets(b.column("text").to_pylist(), SHINGLE)
         has = [i for i, s in enumerate(sets) if len(s)]
-        sketch = S.similarity_sketches([sets[i] for i in has], COORDINATES)
+        some = [sets[i] for i in has]
+        sketch, parity = S.similarity_sketches(some, COORDINATES), S.parities(some, PARITY)
         keys, sig = S.band_keys(sketch, *banding(percent)).view(np.int64), S.signature(sketch)
         digest: list = [None] * len(sets)
         bands: list = [None] * len(sets)
+        odd: list = [None] * len(sets)
         words = np.zeros((len(sets), COORDINATES // 64), np.int64)
         for k, i in enumerate(has):
             digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-            bands[i] = keys[k]
+            bands[i], odd[i] = keys[k], parity[k]
             words[i] = sig[k]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())]
             + [pa.array(words[:, j]) for j in range(4)]
-            + [pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "digest", "s0", "s1", "s2", "s3", "bands"],
+            + [pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "digest", "s0", "s1", "s2", "s3", "bands", "parity"],
         )
 
 
@@ -103,6 +109,19 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 SIG = ["n", "s0", "s1", "s2", "s3"]
 
 
+def _few_differ(a: str, b: str, percent: int) -> Column:
+    """Parity test on two sides: linked sets differ in at most (100 - percent) / (100 + percent) of their elements."""
+    bits = sum((F.bit_count(F.col(f"{a}.d{j}").bitwiseXOR(F.col(f"{b}.d{j}"))) for j in range(PARITY // 64)), F.lit(0))
+    return F.lit(100 + percent) * bits <= F.lit(100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _may_meet(p: str, q: str, percent: int) -> Column:
+    """Whether a row outside the main component may be linked with another row of its bucket."""
+    x, y = (lambda c: F.col(f"{p}.{c}")), (lambda c: F.col(f"{q}.{c}"))
+    apart = (x("comp") < y("comp")) | ((y("comp") == y("main")) & (x("comp") != y("comp")))
+    return (x("bucket") == y("bucket")) & apart & _may_link(p, q, percent) & _few_differ(p, q, percent) & ~F.arrays_overlap(x("head"), y("head"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; links are at ``percent`` hundredths of similarity or more."""
     spark = docs.sparkSession
@@ -115,7 +134,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None
     nodes = scratch.write(
         feats.filter("digest is not null and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), *[F.first(f"s{j}").alias(f"s{j}") for j in range(4)], F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), *[F.first(f"s{j}").alias(f"s{j}") for j in range(4)], F.first("bands").alias("bands"), F.first("parity").alias("parity")),
         "nodes",
     )
     sig = nodes.select("node", *SIG)
@@ -155,19 +174,14 @@ def _across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, sc
     """Links (a, b) between components that a bucket of ``rest`` (bucket, node, comp, and the bucket's main component) shows."""
     # Of the texts of one id those that fell into the bucket.
     rows = rest.join(nodes, "node").withColumn("at", F.array_position("bands", F.col("bucket")).cast("int")).filter("at > 0")
-    rows = scratch.write(rows.withColumn("head", F.slice("bands", 1, F.col("at") - 1)).drop("bands", "at"), "rest")
-
-    def may_meet(p: str, q: str) -> Column:
-        """Whether a row outside the main component may be linked with another row of its bucket."""
-        x, y = (lambda c: F.col(f"{p}.{c}")), (lambda c: F.col(f"{q}.{c}"))
-        apart = (x("comp") < y("comp")) | ((y("comp") == y("main")) & (x("comp") != y("comp")))
-        return (x("bucket") == y("bucket")) & apart & _may_link(p, q, percent) & ~F.arrays_overlap(x("head"), y("head"))
+    odd = {f"d{j}": F.col("parity")[j] for j in range(PARITY // 64)}
+    rows = scratch.write(rows.withColumns({"head": F.slice("bands", 1, F.col("at") - 1)} | odd).drop("bands", "at", "parity"), "rest")
 
     # Only rows that may meet another one take their sets along.
     p, q = rows.filter("comp <> main"), rows
-    near_p = p.alias("p").join(q.alias("q"), may_meet("p", "q"), "left_semi").join(sets, ["node", "digest"])
-    near_q = q.alias("q").join(p.alias("p"), may_meet("p", "q"), "left_semi").join(sets, ["node", "digest"])
-    met = near_p.alias("p").join(near_q.alias("q"), may_meet("p", "q") & _linked(F.col("p.items"), F.col("q.items"), percent))
+    near_p = p.alias("p").join(q.alias("q"), _may_meet("p", "q", percent), "left_semi").join(sets, ["node", "digest"])
+    near_q = q.alias("q").join(p.alias("p"), _may_meet("p", "q", percent), "left_semi").join(sets, ["node", "digest"])
+    met = near_p.alias("p").join(near_q.alias("q"), _may_meet("p", "q", percent) & _linked(F.col("p.items"), F.col("q.items"), percent))
     return met.select(F.greatest("p.comp", "q.comp").alias("a"), F.least("p.comp", "q.comp").alias("b")).distinct()
 
 

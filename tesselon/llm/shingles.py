@@ -154,6 +154,17 @@ def signature(sketch: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def parities(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls on each of ``bits`` places, packed into 64-bit words.
+
+    Common elements of two sets cancel, so their words differ in at most as many bits as the sets differ in elements.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    at = np.concatenate([np.empty(0, U), *sets]) % U(bits)
+    odd = np.bincount(np.repeat(np.arange(len(sets)), sizes) * bits + at.astype(np.int64), minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), bits), axis=1).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |a and b| >= percent * |a or b| for sorted distinct arrays."""
     if len(a) > len(b):

@@ -1,9 +1,12 @@
 import itertools
 import random
+from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tesselon.llm import neardup
 from tesselon.llm import shingles as S
 from tesselon.llm.neardup import banding, near_duplicates, one_of_each_group
 
@@ -147,3 +150,31 @@ def test_a_very_long_text_and_one_id_for_two_texts(make_docs):
     docs = make_docs([long, long + " end", "a b c d e f g h", "z y x w v u t s", "z y x w v u t s"], ids=[1, 2, 3, 3, 4])
     got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs).collect())
     assert got == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 3)]
+
+
+def test_parities_bound_the_difference():
+    rnd = np.random.default_rng(4)
+    pool = rnd.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [np.unique(rnd.choice(pool, n)) for n in (1, 5, 400, 500, 2900)] + [np.empty(0, np.uint64)]
+    words = S.parities(sets, 1024)
+    for i, j in itertools.product(range(len(sets)), repeat=2):
+        assert np.bitwise_count(words[i] ^ words[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_few_pairs_of_a_group_below_the_threshold_take_their_sets_along(make_docs):
+    """300 variants of one text, nearly all pairs of which are similar at 0.6 to 0.75: the signature alone passes most of them."""
+    rnd = random.Random(8)
+    base, texts = [f"v{i}" for i in range(500)], []
+    for v in range(300):
+        w = list(base)
+        for i in rnd.sample(range(100), 9):
+            w[5 * i] = f"x{v}.{i}"
+        texts.append(" ".join(w))
+    docs = make_docs(texts).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    feats = docs.mapInArrow(partial(neardup._features, percent=80), neardup._FEATURES)
+    odd = [F.col("parity")[j].alias(f"d{j}") for j in range(neardup.PARITY // 64)]
+    rows = feats.select(F.lit(0).alias("bucket"), F.col("doc_id").alias("comp"), F.lit(-1).alias("main"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", F.array().cast("array<long>").alias("head"), *odd)
+    p, q = rows.alias("p"), rows.alias("q")
+    below = p.join(q, F.col("p.comp") < F.col("q.comp"))
+    assert below.filter(neardup._may_link("p", "q", 80)).count() > 0.8 * 300 * 299 / 2
+    assert p.join(q, neardup._may_meet("p", "q", 80)).count() < 0.05 * 300 * 299 / 2
