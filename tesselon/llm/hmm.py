@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +36,41 @@ STATES = 8
 ROUNDS = 8
 SEGMENT = 256
 FLUSH = 300_000
+#: Bytes of text that are split into words at once.
+RUN = 4 << 20
 
 
-def word_lists(text: str | None):
-    """The words of a text, a piece of it at a time."""
-    for part in pieces(text or ""):
-        yield part.encode().lower().split()
+def words_of(texts):
+    """(rows, words) for runs of a string array: the words as binary values in order, and the row of each.
+
+    A run holds rows of about ``RUN`` bytes; longer texts come a piece of them at a time.  Arrow's ASCII white space is
+    U+0020 and U+0009-U+000D.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def split(part, row):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
+        words, rows = lists.flatten(), np.repeat(row, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        full = pc.not_equal(pc.binary_length(words), 0)
+        return rows[full.to_numpy(zero_copy_only=False)], words.filter(full).cast(pa.binary())
+
+    texts = pc.fill_null(texts, "")
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    run = np.cumsum(size, dtype=np.int64) // RUN
+    i = 0
+    while i < len(size):
+        if size[i] > RUN:
+            for part in pieces(texts[i].as_py()):
+                yield split(pa.array([part], pa.string()), np.array([i]))
+            i += 1
+            continue
+        j = i + 1
+        while j < len(size) and run[j] == run[i] and size[j] <= RUN:
+            j += 1
+        yield split(texts.slice(i, j - i), np.arange(i, j))
+        i = j
 
 
 def word_class(w: bytes) -> int:
@@ -51,22 +79,24 @@ def word_class(w: bytes) -> int:
 
 def _count(batches):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def out():
-        keys = list(n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array([word_class(k) for k in keys], pa.int32()), pa.array(list(n.values()), pa.int64())], ["word", "cls", "c"]
-        )
+        n = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        words = n.column("word").combine_chunks()
+        return pa.RecordBatch.from_arrays([words, pa.array([word_class(k) for k in words.to_pylist()], pa.int32()), n.column("c_sum").combine_chunks()], ["word", "cls", "c"])
 
-    n: Counter = Counter()
+    held: list = []
     for b in batches:
-        for text in b.column("text").to_pylist():
-            for w in word_lists(text):
-                n.update(w)
-                if len(n) >= FLUSH:
+        for _, words in words_of(b.column("text")):
+            n = pc.value_counts(words)
+            held.append(pa.table({"word": n.field("values"), "c": n.field("counts")}))
+            if sum(map(len, held)) >= FLUSH:
+                held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])]
+                if len(held[0]) >= FLUSH:
                     yield out()
-                    n = Counter()
-    if n:
+                    held = []
+    if held:
         yield out()
 
 
@@ -74,7 +104,7 @@ class Vocabulary:
     """The frequent words with their counts, and the mass of each class of the rest."""
 
     def __init__(self, top: list[tuple[bytes, int]], class_totals: dict[int, tuple[int, int]], docs: int, total: int, distinct: int):
-        self.index = {w: i for i, (w, _) in enumerate(top)}
+        self.words = [w for w, _ in top]
         self.log_c = [math.log10(c + 0.5) for _, c in top]
         self.classes = [word_class(w) for w, _ in top]
         self.symbols = min(SYMBOLS, len(top))
@@ -98,37 +128,49 @@ def _encode(shared):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         voc = shared.value
-        get, m = voc.index.get, voc.symbols
+        table, m = pa.array(voc.words, pa.binary()), voc.symbols
         # One entry more for words beyond the table, which the last index reaches.
         log_c, cls, log_z = np.array([*voc.log_c, 0.0]), np.array([*voc.classes, 0]), np.array(voc.log_z)
-        names = ["n_tokens", "known", "base", "inner", "z", "sym", "rare"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary()]
         for b in batches:
-            cols: list[list] = [[] for _ in names]
-            for text in b.column("text").to_pylist():
-                known, base, inner, z, syms, rare = int(voc.docs > 0), voc.log_end, 0.0, 0.0, [], Counter()
-                for w in word_lists(text):
-                    at = np.array([get(x, -1) for x in w], np.int64)
-                    kind = cls[at]
-                    for i in np.flatnonzero(at < 0).tolist():
-                        rare[w[i]] += 1
-                        kind[i] = word_class(w[i])
-                    mapped = (at >= m) | (at < 0)
-                    known += int((at >= 0).sum())
-                    base += float(log_c[at].sum())
-                    inner += float(log_c[at[at >= m]].sum())
-                    z += float(log_z[kind[mapped]].sum())
-                    syms.append(np.where(mapped, m + kind, at).astype(np.uint16))
-                sym = np.concatenate([*syms, np.array([voc.end], np.uint16)])
-                row = (len(sym), known, base, inner, z, sym.tobytes(), rare)
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            rare = cols.pop()
-            pairs = pa.StructArray.from_arrays([pa.array([x for r in rare for x in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int32())], ["w", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)], lists], ["rid", "doc_id", *names])
+            rows = len(b)
+            known, base = np.full(rows, int(voc.docs > 0)), np.full(rows, voc.log_end)
+            inner, z = np.zeros(rows), np.zeros(rows)
+            syms, rare = [(np.arange(rows), np.full(rows, voc.end, np.uint16))], []
+            for row, words in words_of(b.column("text")):
+                at = pc.fill_null(pc.index_in(words, table), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                kind = cls[at]
+                beyond = np.flatnonzero(at < 0)
+                coded = words.take(pa.array(beyond)).dictionary_encode()
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                kind[beyond] = np.array([word_class(w) for w in coded.dictionary.to_pylist()], np.int64)[code]
+                pairs, n = np.unique(row[beyond] * max(len(coded.dictionary), 1) + code, return_counts=True)
+                owner, code = np.divmod(pairs, max(len(coded.dictionary), 1))
+                rare.append((owner, coded.dictionary.take(pa.array(code)), n))
+                mapped = (at >= m) | (at < 0)
+                sums = lambda where, what: np.bincount(row[where], what, rows)  # noqa: B023, E731
+                known += np.bincount(row[at >= 0], minlength=rows)
+                base += sums(slice(None), log_c[at])
+                inner += sums(at >= m, log_c[at[at >= m]])
+                z += sums(mapped, log_z[kind[mapped]])
+                syms.append((row, np.where(mapped, m + kind, at).astype(np.uint16)))
+            # The end of each text comes behind its words.
+            syms.append(syms.pop(0))
+            owner, sym = (np.concatenate(x) for x in zip(*syms, strict=True))
+            sym, n = sym[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=rows)
+            cut = np.cumsum(n) - n
+            sym = [sym[i : i + k].tobytes() for i, k in zip(cut.tolist(), n.tolist(), strict=True)]
+            owner = np.concatenate([np.empty(0, np.int64), *[x[0] for x in rare]])
+            order = np.argsort(owner, kind="stable")
+            w = pa.concat_arrays([pa.array([], pa.binary()), *[x[1] for x in rare]]).take(pa.array(order))
+            pairs = pa.StructArray.from_arrays([w, pa.array(np.concatenate([np.empty(0, np.int64), *[x[2] for x in rare]])[order], pa.int32())], ["w", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(inner), pa.array(z), pa.array(sym, pa.binary()), lists],
+                ["rid", "doc_id", "n_tokens", "known", "base", "inner", "z", "sym", "rare"],
+            )
 
     return run
 
@@ -146,14 +188,18 @@ def start_model(size: int, unigram, states: int = STATES):
 
 
 def _packed(seqs):
-    """Sequences end to end in order of falling length: symbols, starts, how many last beyond each step, order."""
+    """Sequences in order of falling length: their symbols step by step, how many last beyond each step, where steps begin, order."""
     import numpy as np
 
     size = np.array([len(s) for s in seqs])
     order = np.argsort(-size, kind="stable")
     size = size[order]
     active = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")
-    return np.concatenate([seqs[i] for i in order]), np.cumsum(size) - size, active, order
+    begin = np.cumsum(active) - active
+    flat = np.empty(size.sum(), np.int64)
+    at = np.repeat(np.arange(len(size)), size)
+    flat[begin[np.arange(len(flat)) - (np.cumsum(size) - size)[at]] + at] = np.concatenate([seqs[i] for i in order])
+    return flat, active.tolist(), begin.tolist(), order
 
 
 def forward(seqs, start, move, emit):
@@ -163,14 +209,17 @@ def forward(seqs, start, move, emit):
     out = np.zeros(len(seqs))
     if not len(seqs):
         return out
-    flat, at, active, order = _packed(seqs)
-    total = np.zeros(len(at))
+    flat, active, begin, order = _packed(seqs)
+    total = np.zeros(len(seqs))
+    # A row a state: what is done to a step's sequences runs along them.
+    turn, emit = np.ascontiguousarray(move.T), np.ascontiguousarray(emit.T)
     alpha = None
-    for t, n in enumerate(active.tolist()):
-        e = emit[flat[at[:n] + t]]
-        alpha = start * e if t == 0 else (alpha[:n] @ move) * e
-        s = alpha.sum(1)
-        alpha = alpha / s[:, None]
+    for t, n in enumerate(active):
+        e = emit.take(flat[begin[t] : begin[t] + n], axis=1)
+        e *= start[:, None] if t == 0 else turn @ alpha[:, :n]
+        s = e.sum(0)
+        e /= s
+        alpha = e
         total[:n] += np.log10(s)
     out[order] = total
     return out
@@ -184,33 +233,39 @@ def expected_counts(seqs, start, move, emit):
     starts, moves, emissions, ll = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape), 0.0
     if not len(seqs):
         return starts, moves, emissions, ll
-    flat, first, active, _ = _packed(seqs)
-    steps, active = len(active), active.tolist()
-    alphas, scales = [], []
-    for t in range(steps):
-        n = active[t]
-        e = emit[flat[first[:n] + t]]
-        a = start * e if t == 0 else (alphas[-1][:n] @ move) * e
-        s = a.sum(1)
-        ll += float(np.log(s).sum(dtype=float))
-        alphas.append(a / s[:, None])
-        scales.append(s)
-    beta = np.ones((active[-1], k), emit.dtype)
-    gammas = [None] * steps
-    for t in range(steps - 1, -1, -1):
-        gammas[t] = alphas[t] * beta
+    flat, active, begin, _ = _packed(seqs)
+    turn = np.ascontiguousarray(move.T)
+    # A row a state: what is done to a step's sequences runs along them.
+    e = np.ascontiguousarray(emit.T).take(flat, axis=1)
+    alpha, scale = np.empty_like(e), np.empty(len(flat), e.dtype)
+    last = None
+    for n, i in zip(active, begin, strict=True):
+        a = alpha[:, i : i + n]
+        np.multiply(start[:, None] if last is None else turn @ last[:, :n], e[:, i : i + n], out=a)
+        s = a.sum(0)
+        a /= s
+        scale[i : i + n] = s
+        last = a
+    ll = float(np.log(scale).sum(dtype=float))
+    e /= scale
+    beta = np.ones((k, active[-1]), emit.dtype)
+    for t in range(len(active) - 1, -1, -1):
+        n, i = active[t], begin[t]
         if t:
-            n = active[t]
-            w = emit[flat[first[:n] + t]] * beta / scales[t][:, None]
-            moves += alphas[t - 1][:n].T @ w
-            beta = np.ones((active[t - 1], k), emit.dtype)
-            beta[:n] = w @ move.T
+            m, j = active[t - 1], begin[t - 1]
+            w = e[:, i : i + n]
+            w *= beta
+            moves += alpha[:, j : j + n] @ w.T
+            # Of a step that is done the state probabilities are kept in place.
+            alpha[:, i : i + n] *= beta
+            beta = np.ones((k, m), emit.dtype)
+            np.matmul(move, w, out=beta[:, :n])
+        else:
+            alpha[:, :n] *= beta
     moves *= move
-    starts = gammas[0].sum(0)
-    g = np.concatenate(gammas)
-    at = np.concatenate([flat[first[: active[t]] + t] for t in range(steps)])
+    starts = alpha[:, : active[0]].sum(1)
     for j in range(k):
-        emissions[:, j] = np.bincount(at, g[:, j], len(emit))
+        emissions[:, j] = np.bincount(flat, alpha[j], len(emit))
     return starts, moves, emissions, ll
 
 

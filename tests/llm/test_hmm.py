@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tesselon.llm import common, hmm
 
@@ -115,3 +116,23 @@ def test_likelihood_rises_and_reruns_agree(make_docs, spark):
 
 def test_empty_table(make_docs):
     assert hmm.language_scores(make_docs(["x"]).filter("doc_id < 0"), 2, 1).count() == 0
+
+
+def test_words_of_whole_batches(make_docs, odd_texts, monkeypatch):
+    """Words of many rows at once, and of long texts in pieces, are those of each text alone; scores do not depend on the cut."""
+    texts = [*odd_texts, None, "", " \x0b\x0c ", "\x1c a\u2003B\x85 \tÉ\r\n", *corpus()[:60]]
+    want = sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in hmm.language_scores(make_docs(texts), 2, 1).collect())
+    for run in (1 << 22, 200, 30):
+        monkeypatch.setattr(hmm, "RUN", run)
+        monkeypatch.setattr(common.pieces, "__defaults__", (20,))
+        got: list = [[] for _ in texts]
+        for rows, words in hmm.words_of(pa.array(texts, pa.string())):
+            for i, w in zip(rows.tolist(), words.to_pylist(), strict=True):
+                got[i].append(w)
+        assert got == [(t or "").encode().lower().split() for t in texts]
+    col = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    counted = Counter()
+    for b in hmm._count(iter([col, col])):
+        counted.update(dict(zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True)))
+    assert counted == Counter(w for t in texts + texts for w in (t or "").encode().lower().split())
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in hmm.language_scores(make_docs(texts), 2, 1).collect()) == want
