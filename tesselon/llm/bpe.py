@@ -39,6 +39,8 @@ from tesselon.llm.common import bounded_batches
 
 #: Characters buffered before stable tokens are emitted.
 BLOCK = 8192
+#: Characters of short texts encoded at once: the library holds over a hundred bytes a token until they are done.
+AT_ONCE = 1 << 17
 #: Characters the pre-tokenizer may still regroup at the end of a buffer, at four bytes each.
 SPLIT_BYTES = 3 * 4
 
@@ -108,9 +110,16 @@ class Transducer:
         tok.no_padding()
         self._encode = lambda texts: [x.ids for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def blocks(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts that fit the buffer: each ends within it, so all its tokens are final."""
-        return self._encode(texts)
+    def blocks(self, texts: list[str]):
+        """Yields the ids of texts that fit the buffer: each ends within it, so all its tokens are final."""
+        i = 0
+        while i < len(texts):
+            j, held = i, 0
+            while j < len(texts) and held < AT_ONCE:
+                held += len(texts[j])
+                j += 1
+            yield from self._encode(texts[i:j])
+            i = j
 
     def stream(self, chunks):
         """Yields lists of final ids for a text given in chunks."""

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tesselon.llm import bpe
 from tesselon.llm.bpe import Transducer, decode_documents, encode_documents, roundtrip_digests, sufficient_lookahead, transducer
 
 
@@ -67,3 +68,13 @@ def test_queries_round_trip(make_docs, odd_texts, vocab, library):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
         assert back[i] == (t or "")
     assert roundtrip_digests(docs.filter("doc_id < 0"), vocab).count() == 0
+
+
+def test_short_texts_go_through_the_library_in_bounded_groups(vocab, monkeypatch):
+    tr = Transducer(vocab)
+    texts = [f"text {i} " * (i % 50) for i in range(400)]
+    want, sizes, encode = [tr.encode(t) for t in texts], [], tr._encode
+    monkeypatch.setattr(bpe, "AT_ONCE", 5000)
+    monkeypatch.setattr(tr, "_encode", lambda part: sizes.append(sum(map(len, part))) or encode(part))
+    assert list(tr.blocks(texts)) == want
+    assert len(sizes) > 1 and max(sizes) < 5000 + max(map(len, texts))
