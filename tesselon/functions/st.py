@@ -202,7 +202,26 @@ convex_hull = builder(M.convex_hull)
 envelope = builder(M.envelope)
 exterior = builder(M.exterior)
 representative_point = builder(M.representative_point)
-buffer = builder(T.buffer)
+_buffer = builder(T.buffer)
+
+
+def buffer(c: Column | str, distance: float, resolution: int = 16, cap_style: str = "round", join_style: str = "round", mitre_limit: float = 5.0, single_sided: bool = False) -> Column:
+    """Buffers; those inwards of convex polygons, whose corners no style can change, are computed together."""
+    styles = {"resolution": resolution, "cap_style": cap_style, "join_style": join_style, "mitre_limit": mitre_limit}
+    if not distance < 0 or resolution < 1 or single_sided:
+        return _buffer(c, distance=distance, single_sided=single_sided, **styles)
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        values = s.tolist()
+        found, left = K.inset(values, -distance)
+        for i in left:
+            found[i] = _row(T.buffer(G.from_wkb(bytes(values[i])), distance, **styles))
+        rows = [found.get(i) or _row(None) for i in range(len(values))]
+        return pd.DataFrame(rows, columns=["wkb", "xmin", "ymin", "xmax", "ymax"])
+
+    return F.pandas_udf(run, BUILT)(_col(c))
+
+
 simplify = builder(M.simplify)
 interpolate = builder(M.interpolate)
 affine_transform = builder(M.affine)
