@@ -19,6 +19,7 @@ from tesselon.kernels import columns as K
 from tesselon.kernels import geometry as G
 from tesselon.kernels import measures as M
 from tesselon.kernels import topology as T
+from tesselon.kernels import unions as U
 
 BBOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 BUILT = "struct<wkb:binary,xmin:double,ymin:double,xmax:double,ymax:double>"
@@ -365,17 +366,27 @@ def union_list(geoms: Column | str) -> Column:
     """Union of an array of WKB."""
 
     def run(s: pd.Series) -> pd.DataFrame:
-        rows = [_row(None if a is None else T.union_all([G.from_wkb(bytes(b)) for b in a if b is not None])) for a in s]
+        rows = [(None,) * 5 if a is None else U.unite([bytes(b) for b in a if b is not None]) for a in s]
         return pd.DataFrame(rows, columns=["wkb", "xmin", "ymin", "xmax", "ymax"])
 
     return F.pandas_udf(run, BUILT)(_col(geoms))
 
 
+def union_pieces(geoms: Column | str, size: int) -> Column:
+    """Union of an array of unions as an array of geometries of about ``size`` bytes; one null where there are none."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([U.pieces([bytes(b) for b in a], size) if len(a) > 1 else list(a) or [None] for a in s], dtype=object)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<binary>")(_col(geoms))
+
+
 def union_agg(geoms: Column | str) -> Column:
     """Union of a group as an aggregate function.  It gathers each group whole; see ``dissolve`` for large groups."""
 
     def run(s: pd.Series) -> bytes:
-        return G.to_wkb(T.union_all([G.from_wkb(bytes(b)) for b in s if b is not None]))
+        return U.unite([bytes(b) for b in s if b is not None])[0]
 
     run.__annotations__ = {"s": pd.Series, "return": bytes}
     return F.pandas_udf(run, "binary")(_col(geoms))

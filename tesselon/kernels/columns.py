@@ -7,7 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from tesselon.kernels import geometry, measures
+
 _LINE, _RING = b"\x01\x02\x00\x00\x00", b"\x01\x03\x00\x00\x00\x01\x00\x00\x00"
+_POLYGON, _MULTIPOLYGON = _RING[:5], b"\x01\x06\x00\x00\x00"
+#: Pairs of boxes that are compared at once.
+PAIRS = 1 << 22
 
 
 def runs(values: list):
@@ -27,6 +32,96 @@ def runs(values: list):
             yield np.array(at), ring, data[:, head:].copy().view("<f8").reshape(len(at), -1, 2)
 
 
+def members(b: bytes) -> list[bytes] | None:
+    """The polygons of a little-endian 2-D multipolygon as they stand in its bytes; None for anything else."""
+    if b[:5] != _MULTIPOLYGON or len(b) < 9:
+        return None
+    count = int.from_bytes(b[5:9], "little")
+    if count and (len(b) - 9) % count == 0 and (size := (len(b) - 9) // count) > 13 and (size - 13) % 16 == 0:
+        head = np.frombuffer(b, np.uint8, offset=9).reshape(count, size)[:, :13]
+        if (head == np.frombuffer(_RING + ((size - 13) // 16).to_bytes(4, "little"), np.uint8)).all():
+            return [b[i : i + size] for i in range(9, len(b), size)]
+    out, at = [], 9
+    for _ in range(count):
+        if b[at : at + 5] != _POLYGON:
+            return None
+        end = at + 9
+        for _ in range(int.from_bytes(b[at + 5 : end], "little")):
+            end += 4 + 16 * int.from_bytes(b[end : end + 4], "little")
+            if end > len(b):
+                return None
+        out.append(b[at:end])
+        at = end
+    return out if at == len(b) else None
+
+
+def clusters(boxes) -> np.ndarray:
+    """A label for each row of (xmin, ymin, xmax, ymax): equal where a chain of boxes that meet leads from one to the other.
+
+    Rows are parted by gaps in x and in y in turn until neither parts them further; boxes of what is left are compared.
+    """
+    boxes = np.asarray(boxes, float)
+    label = np.arange(len(boxes))
+    at = np.flatnonzero(np.isfinite(boxes).all(1))
+    group, idle, axis = np.zeros(len(at), np.int64), 0, 0
+    while len(at) and idle < 2:
+        lo, hi = _ranks(boxes[at], axis)
+        order = np.lexsort((lo, group))
+        at, group, lo, hi = at[order], group[order], lo[order], hi[order]
+        # Groups follow each other, so the greatest end so far is one of the own group.
+        most = np.maximum.accumulate(group * (2 * len(at)) + hi)
+        first = np.r_[True, group[1:] * (2 * len(at)) + lo[1:] > most[:-1]]
+        parted = np.cumsum(first) - 1
+        idle = idle + 1 if parted[-1] == group[-1] else 0
+        many = np.bincount(parted)[parted] > 1
+        at, group = at[many], np.unique(parted[many], return_inverse=True)[1]
+        axis = 1 - axis
+    if not len(at):
+        return label
+    spans = [_meetings(boxes[at], group, axis) for axis in (0, 1)]
+    cost = np.stack([np.bincount(group[order], end - np.arange(len(at))) for order, end in spans])
+    for axis, (order, end) in enumerate(spans):
+        here = np.flatnonzero(cost.argmin(0)[group[order]] == axis)
+        other = boxes[at[order]][:, [1 - axis, 3 - axis]]
+        size = end[here] - here - 1
+        done = 0
+        while done < len(here):
+            upto = max(done + 1, int(np.searchsorted(np.cumsum(size[done:]), PAIRS, "right")) + done)
+            n = size[done:upto]
+            i = np.repeat(here[done:upto], n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            meet = (other[i, 0] <= other[j, 1]) & (other[j, 0] <= other[i, 1])
+            _join(label, at[order[i[meet]]], at[order[j[meet]]])
+            done = upto
+    return label
+
+
+def _ranks(boxes, axis: int):
+    """Ends of the boxes on an axis as ranks among all of them."""
+    n = len(boxes)
+    ranks = np.unique(np.concatenate([boxes[:, axis], boxes[:, axis + 2]]), return_inverse=True)[1]
+    return ranks[:n], ranks[n:]
+
+
+def _meetings(boxes, group, axis: int):
+    """An order by group and lower end, and for each place in it the place before which those stand that begin where it reaches."""
+    lo, hi = _ranks(boxes, axis)
+    base = group * (2 * len(boxes))
+    order = np.argsort(base + lo, kind="stable")
+    return order, np.searchsorted((base + lo)[order], (base + hi)[order], "right")
+
+
+def _join(label, i, j) -> None:
+    """Gives the least label to what pairs connect."""
+    while len(i):
+        a, b = label[i], label[j]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+
+
 def _decided(values: list, one):
     out = np.full(len(values), np.nan)
     left = np.array([v is not None for v in values], bool)
@@ -43,6 +138,22 @@ def _cross(xy):
 
 
 def area(values: list):
+    """Those of multipolygons as the sum over their polygons."""
+    out, left = _simple_areas(values)
+    rest = []
+    for i in left.tolist():
+        items = members(bytes(values[i]))
+        if items is None:
+            rest.append(i)
+            continue
+        each, holed = _simple_areas(items)
+        for k in holed.tolist():
+            each[k] = measures.area(geometry.from_wkb(items[k]))
+        out[i] = each.sum()
+    return out, np.array(rest, int)
+
+
+def _simple_areas(values: list):
     return _decided(values, lambda ring, xy: (np.abs(_cross(xy).sum(1)) / 2 if ring else np.zeros(len(xy)), np.isfinite(xy).all((1, 2))))
 
 
