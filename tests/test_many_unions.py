@@ -9,6 +9,7 @@ import pytest
 
 from tesselon.kernels import columns as K
 from tesselon.kernels import geometry as G
+from tesselon.kernels import measures as M
 from tesselon.kernels import topology as T
 from tesselon.kernels import unions as U
 from tesselon.operators import aggregate
@@ -90,3 +91,17 @@ def check_many_tiles(spark, path, name):
 
 def test_dissolve_of_many_tiles(spark, tmp_path):
     check_many_tiles(spark, tmp_path, "dissolve_all")
+
+
+def test_union_of_many_tiles(spark, tmp_path):
+    check_many_tiles(spark, tmp_path, "union_all_area")
+
+
+def test_areas_of_multipolygons_are_computed_together():
+    rnd = random.Random(2)
+    square, holed, z = G.box(0, 0, 2, 1), G.from_wkt("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))"), G.from_wkt("POLYGON Z ((0 0 1, 1 0 1, 1 1 1, 0 0 1))")
+    geoms = [G.Geom(G.MULTIPOLYGON, [G.box(x, 0, x + rnd.random(), 3) for x in range(9)]), G.Geom(G.MULTIPOLYGON, [square, holed, G.Geom(G.POLYGON, [])]), G.Geom(G.MULTIPOLYGON, []), holed, z, G.collect([square, z])]
+    values = [*map(G.to_wkb, geoms), G.to_wkb(geoms[0])[:-16], None]
+    out, left = K.area(values)
+    assert left.tolist() == [3, 4, 5, 6]
+    assert out[:3].tolist() == pytest.approx([M.area(g) for g in geoms[:3]], rel=1e-12)
