@@ -22,7 +22,6 @@ HELD_BYTES = 64 << 20
 SALTS = 64
 #: Bytes of the rows in which partial unions travel: a union of more parts takes several.
 PIECE_BYTES = 1 << 20
-BUILT = ("wkb", *BOX)
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp,
@@ -105,7 +104,7 @@ def _unite(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
     salt = F.pmod(F.xxhash64(geometry), F.lit(SALTS))
     d = d.groupBy(*keys, salt.alias("_salt")).agg(F.collect_list(geometry).alias("_g"))
     d = d.select(*keys, F.explode(st.union_pieces("_g", PIECE_BYTES)).alias(geometry))
-    schema = d.select(*keys, F.lit(None).cast(st.BUILT).alias("_g")).schema
+    schema = d.select(*keys, F.lit(None).cast("binary").alias("_wkb"), *[F.lit(None).cast("double").alias(f"_{c}") for c in BOX]).schema
 
     def run(batches):
         import pyarrow as pa
@@ -115,11 +114,11 @@ def _unite(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
 
         def close():
             # One alone is a union already.
-            return (*key, dict(zip(BUILT, U.unite(held) if len(held) > 1 else U.boxed(held[0]))) if held else None)
+            return (*key, *((U.unite(held) if len(held) > 1 else U.boxed(held[0])) if held else (None,) * 5))
 
         def rows():
-            built = pa.struct([(c, pa.float64() if c in BOX else pa.binary()) for c in BUILT])
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done), [*types, built])], names=[*keys, "_g"])
+            made = [*types, pa.binary(), *[pa.float64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done), made)], names=schema.names)
 
         for batch in batches:
             types = [batch.schema.field(i).type for i in range(len(keys))]
@@ -139,7 +138,9 @@ def _unite(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
             done.append(close())
             yield rows()
 
-    return d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    d = d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    # Columns of their own, as a struct would be copied to take the geometry out of it.
+    return d.select(*keys, F.struct(*[F.col(f"_{c}").alias(c) for c in ("wkb", *BOX)]).alias("_g"))
 
 
 def union_all(frame: GeoFrame) -> DataFrame:
