@@ -54,14 +54,24 @@ def banding(percent: int) -> tuple[int, int]:
 _FEATURES = "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, bands array<long>, parity array<long>"
 
 
+def _parts(batches):
+    """Ids and texts of a batch, about 2**20 characters at a time: what a worker holds beside the batch follows from that."""
+    from tesselon.llm import shingles as S
+
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for i, j in S.grouped(texts):
+            yield b.column("doc_id").slice(i, j - i), texts[i:j]
+
+
 def _features(batches, percent: int):
     import numpy as np
     import pyarrow as pa
 
     from tesselon.llm import shingles as S
 
-    for b in batches:
-        sets = S.shingle_sets(b.column("text").to_pylist(), SHINGLE)
+    for ids, texts in _parts(batches):
+        sets = S.shingle_sets(texts, SHINGLE)
         has = [i for i, s in enumerate(sets) if len(s)]
         some = [sets[i] for i in has]
         sketch, parity = S.similarity_sketches(some, COORDINATES), S.parities(some, PARITY)
@@ -75,7 +85,7 @@ def _features(batches, percent: int):
             bands[i], odd[i] = keys[k], parity[k]
             words[i] = sig[k]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())]
+            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())]
             + [pa.array(words[:, j]) for j in range(4)]
             + [pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
             ["doc_id", "n_shingles", "digest", "s0", "s1", "s2", "s3", "bands", "parity"],
@@ -88,10 +98,10 @@ def _hash_sets(batches):
 
     from tesselon.llm import shingles as S
 
-    for b in batches:
-        sets = [x.view(np.int64) for x in S.shingle_sets(b.column("text").to_pylist(), SHINGLE)]
+    for ids, texts in _parts(batches):
+        sets = [x.view(np.int64) for x in S.shingle_sets(texts, SHINGLE)]
         digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "digest", "items"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(digest, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "digest", "items"])
 
 
 def _apart(a: str, b: str) -> Column:
@@ -138,9 +148,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None
         "nodes",
     )
     sig = nodes.select("node", *SIG)
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    # Few buckets recur, so counting them before the exchange would only sort them once more: one exchange serves both sides.
+    member = nodes.select("node", F.explode("bands").alias("bucket")).repartition("bucket")
     shared = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(F.xxhash64("node"), "node")).alias("mid")).filter("low <> high")
-    member = scratch.write(member.join(shared.select("bucket", "low", "high", "mid.node").withColumnRenamed("node", "mid"), "bucket"), "members")
+    member = member.join(shared.select("bucket", "low", "high", "mid.node").withColumnRenamed("node", "mid"), "bucket")
+    # A small part of the rows read: gathered into as few files as their size asks for.
+    member = scratch.write(member.hint("rebalance"), "members")
 
     # The full sets of all candidates, made once; without the hint the plan, and the disk it needs, would change with the size.
     wanted = member.select(F.col("node").alias("doc_id")).distinct()

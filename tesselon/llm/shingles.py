@@ -30,7 +30,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BLOCK = 1 << 20
+#: Bytes hashed at a time, which is also the length of the tables of powers that every worker keeps.
+BLOCK = 1 << 16
 
 
 def _power_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +72,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return h, begin, end, np.searchsorted(begin, starts_of)
 
 
-def grouped(texts: list[str | None], size: int = 4 * BLOCK):
+def grouped(texts: list[str | None], size: int = 1 << 20):
     """(first, last) of runs of texts that together have about ``size`` characters, to bound what is worked on at once."""
     first = held = 0
     for i, t in enumerate(texts):

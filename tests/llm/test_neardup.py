@@ -152,6 +152,42 @@ def test_a_very_long_text_and_one_id_for_two_texts(make_docs):
     assert got == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 3)]
 
 
+def test_a_worker_holds_little_beside_its_batch():
+    """A batch of 8 MB, as large as they come, is worked on in parts, whose sets and sketches go before the next part's are made."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rnd.choices(vocab, k=1500)) for _ in range(900)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(902)), pa.array(texts)], ["doc_id", "text"])
+    for made in (lambda: neardup._features([batch], 80), lambda: neardup._hash_sets([batch])):
+        tracemalloc.start()
+        assert [i for b in made() for i in b.column(0).to_pylist()] == list(range(902))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 45e6
+
+
+def test_members_are_found_with_one_exchange_of_the_band_keys(make_docs, monkeypatch):
+    """Counting the buckets and joining the counts both read one exchange, made without a sort before it."""
+    plans, write = {}, neardup.Scratch.write
+
+    def seen(self, df, name):
+        out = write(self, df, name)
+        if name == "members":
+            ran = df.select("*")
+            ran.collect()
+            plans[name] = ran._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "write", seen)
+    assert near_duplicates(make_docs(corpus()), 80).count()
+    dealt = [line for line in plans["members"].splitlines() if "Exchange hashpartitioning(bucket" in line]
+    assert ["ReusedExchange" in line for line in dealt] == [False, True], plans["members"]
+
+
 def test_parities_bound_the_difference():
     rnd = np.random.default_rng(4)
     pool = rnd.integers(0, 2**63, 3000, dtype=np.uint64)
