@@ -35,7 +35,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import bounded_batches
+from tesselon.llm.common import bounded_batches, kept
 
 #: Characters buffered before stable tokens are emitted.
 BLOCK = 8192
@@ -185,6 +185,7 @@ class Transducer:
         return n, h.hexdigest(), t.hexdigest()
 
 
+@kept
 @lru_cache(maxsize=2)
 def transducer(path: str, block: int = BLOCK) -> Transducer:
     return Transducer(path, block)

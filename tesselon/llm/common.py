@@ -119,3 +119,34 @@ BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Functions with caches that outlive a task, such as that of an encoder's vocabulary.
+KEPT: list = []
+
+
+def kept(cached):
+    """Marks a cached function as one whose cache ``lean_worker`` empties."""
+    KEPT.append(cached)
+    return cached
+
+
+def lean_worker() -> None:
+    """Drops what tasks of other operators left in this Python worker, which Spark uses again, and gives free memory back."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for f in KEPT:
+        f.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of some systems has none
+    if trim is not None:
+        trim(0)
+
+
+def small_table(spark: SparkSession, columns: dict) -> DataFrame:
+    """A table of Arrow arrays from the driver.  One of Python rows would start Python workers on the executors to read it."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table(columns))

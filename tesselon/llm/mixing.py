@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesselon.llm.common import WORD, Scratch
+from tesselon.llm.common import WORD, Scratch, small_table
 
 MAX_COPIES = 3
 #: Rows of a cell that one task ranks, on average.
@@ -51,13 +51,15 @@ def group_key(c: Column) -> Column:
 
 def numbered(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``rank`` from 0 by ``g``: ranges are ranked apart and shifted by the counts of those before."""
+    import pyarrow as pa
+
     s = scratch.write(sources.repartitionByRange("g").withColumn("range", F.spark_partition_id()), "ranges")
     sizes = sorted(s.groupBy("range").agg(F.min("g").alias("low"), F.count("*").alias("n")).collect(), key=lambda r: r["low"])
     shift, at = [], 0
     for r in sizes:  # a row a partition
-        shift.append((r["range"], at))
+        shift.append(at)
         at += r["n"]
-    shifts = s.sparkSession.createDataFrame(shift, "range int, shift long")
+    shifts = small_table(s.sparkSession, {"range": pa.array([r["range"] for r in sizes], pa.int32()), "shift": pa.array(shift, pa.int64())})
     within = F.row_number().over(Window.partitionBy("range").orderBy("g")) - 1
     return s.withColumn("rank", within).join(F.broadcast(shifts), "range").select(*sources.columns, (F.col("rank") + F.col("shift")).alias("rank"))
 

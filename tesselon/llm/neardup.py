@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesselon.llm.common import Scratch, bounded_batches
+from tesselon.llm.common import Scratch, bounded_batches, lean_worker
 from tesselon.llm.components import connected_components
 
 SHINGLE = 5
@@ -58,10 +58,13 @@ def _parts(batches):
     """Ids and texts of a batch, about 2**20 characters at a time: what a worker holds beside the batch follows from that."""
     from tesselon.llm import shingles as S
 
+    lean_worker()
     for b in batches:
         texts = b.column("text").to_pylist()
         for i, j in S.grouped(texts):
             yield b.column("doc_id").slice(i, j - i), texts[i:j]
+    b = texts = None
+    lean_worker()
 
 
 def _features(batches, percent: int):

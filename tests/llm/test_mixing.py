@@ -146,3 +146,14 @@ def test_odd_rows(make_docs, spark):
     got = {r.doc_id: (r["size"], r.taken) for r in mix(docs).collect()}
     assert {k: v[0] for k, v in got.items()} == {0: 0, 1: 0, 2: 2, 3: 300_000, 4: 1} and got[0][1] == got[1][1] == 0
     assert mix(docs.filter("doc_id < 0")).count() == 0
+
+
+def test_sources_are_numbered_without_python_on_the_executors(spark):
+    """Python rows of the driver are read back by Python workers, which stay beside the executor's heap."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(40).select(F.concat(F.lit("v"), "id").alias("g"), F.col("id").alias("size"))
+    ranked = numbered(df, Scratch(spark, "t"))
+    assert "ExistingRDD" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["rank"], r.g) for r in ranked.collect()) == list(enumerate(sorted(f"v{i}" for i in range(40))))
+    assert numbered(df.filter("size < 0"), Scratch(spark, "t")).count() == 0

@@ -214,3 +214,17 @@ def test_few_pairs_of_a_group_below_the_threshold_take_their_sets_along(make_doc
     below = p.join(q, F.col("p.comp") < F.col("q.comp"))
     assert below.filter(neardup._may_link("p", "q", 80)).count() > 0.8 * 300 * 299 / 2
     assert p.join(q, neardup._may_meet("p", "q", 80)).count() < 0.05 * 300 * 299 / 2
+
+
+def test_a_worker_drops_the_encoder_that_an_earlier_task_left(vocab):
+    """Spark uses a worker again for other operators; one that had encoded kept a vocabulary beside the shingle sets."""
+    import pyarrow as pa
+
+    from tesselon.llm.bpe import transducer
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text"])], ["doc_id", "text"])
+    for made in (lambda: neardup._features([batch], 80), lambda: neardup._hash_sets([batch]), lambda: neardup._hash_sets([])):
+        transducer(vocab)
+        assert transducer.cache_info().currsize
+        assert sum(b.num_rows for b in made()) <= 1
+        assert transducer.cache_info().currsize == 0
