@@ -145,6 +145,17 @@ def lean_worker() -> None:
         trim(0)
 
 
+def lean(run):
+    """The Arrow function ``run``, before and after which the worker gives back what it does not need."""
+
+    def lean_run(batches):
+        lean_worker()
+        yield from run(batches)
+        lean_worker()
+
+    return lean_run
+
+
 def small_table(spark: SparkSession, columns: dict) -> DataFrame:
     """A table of Arrow arrays from the driver.  One of Python rows would start Python workers on the executors to read it."""
     import pyarrow as pa

@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import Scratch, bounded_batches, crc_mod, pieces
+from tesselon.llm.common import Scratch, bounded_batches, crc_mod, lean, pieces
 
 TOP_WORDS = 131_072
 SYMBOLS = 8_192
@@ -36,6 +36,8 @@ STATES = 8
 ROUNDS = 8
 SEGMENT = 256
 FLUSH = 300_000
+#: Counted words for which Python objects are made at once.
+PART = 16_384
 #: Bytes of text that are split into words at once.
 RUN = 4 << 20
 
@@ -81,10 +83,13 @@ def _count(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    def out():
+    def summed():
         n = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
-        words = n.column("word").combine_chunks()
-        return pa.RecordBatch.from_arrays([words, pa.array([word_class(k) for k in words.to_pylist()], pa.int32()), n.column("c_sum").combine_chunks()], ["word", "cls", "c"])
+        return n.select(["word", "c_sum"]).rename_columns(["word", "c"])
+
+    def out(n):
+        for b in n.to_batches(PART):
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([word_class(k) for k in b.column("word").to_pylist()], pa.int32()), b.column("c")], ["word", "cls", "c"])
 
     held: list = []
     for b in batches:
@@ -92,12 +97,11 @@ def _count(batches):
             n = pc.value_counts(words)
             held.append(pa.table({"word": n.field("values"), "c": n.field("counts")}))
             if sum(map(len, held)) >= FLUSH:
-                held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])]
+                held = [summed()]
                 if len(held[0]) >= FLUSH:
-                    yield out()
-                    held = []
+                    yield from out(held.pop())
     if held:
-        yield out()
+        yield from out(summed())
 
 
 class Vocabulary:
@@ -319,7 +323,7 @@ def train(encoded: DataFrame, size: int, unigram, states: int = STATES, rounds:
     schema = "i int, " + ", ".join(f"k{j} double" for j in range(states))
     for _ in range(rounds):
         shared = sc.broadcast(model)
-        rows = encoded.select("sym").mapInArrow(_e_step(shared), schema).groupBy("i").agg(*[F.sum(f"k{j}").alias(f"k{j}") for j in range(states)]).toPandas()
+        rows = encoded.select("sym").mapInArrow(lean(_e_step(shared)), schema).groupBy("i").agg(*[F.sum(f"k{j}").alias(f"k{j}") for j in range(states)]).toPandas()
         total = np.zeros((size + states + 2, states))
         total[rows["i"]] = rows.drop(columns="i")
         emit = total[:size] + 20.0 * unigram[:, None]
@@ -358,7 +362,7 @@ def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     train_docs = docs.filter(~held)
 
-    counts = train_docs.select("text").mapInArrow(_count, "word binary, cls int, c long")
+    counts = train_docs.select("text").mapInArrow(lean(_count), "word binary, cls int, c long")
     counts = scratch.write(counts.groupBy("word").agg(F.first("cls").alias("cls"), F.sum("c").alias("c")), "counts")
     per_class = counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     n_docs = train_docs.count()
@@ -369,7 +373,9 @@ def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"rid long, doc_id {kind}, n_tokens long, known long, base double, inner double, z double, sym binary, rare array<struct<w:binary,n:int>>"
-    encoded = scratch.write(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(_encode(sc.broadcast(voc)), schema), "encoded")
+    shared = sc.broadcast(voc)
+    encoded = scratch.write(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(lean(_encode(shared)), schema), "encoded")
+    shared.unpersist()
 
     # Words beyond the table: one row per document and word, looked up by a join.
     rare = encoded.select("rid", F.explode("rare").alias("x")).select("rid", "x.w", "x.n")
@@ -388,7 +394,7 @@ def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     unigram /= unigram.sum()
     model, _ = train(encoded.filter(~held), voc.size, unigram, states, rounds)
     run, schema = _forward(sc.broadcast(model), kind)
-    scored = encoded.select("rid", "doc_id", "n_tokens", "known", "base", "inner", "z", "sym").mapInArrow(run, schema)
+    scored = encoded.select("rid", "doc_id", "n_tokens", "known", "base", "inner", "z", "sym").mapInArrow(lean(run), schema)
     out = scored.join(seen, "rid", "left").withColumn("beyond", F.coalesce("beyond", F.lit(0.0)))
     return out.select(
         "doc_id",

@@ -136,3 +136,43 @@ def test_words_of_whole_batches(make_docs, odd_texts, monkeypatch):
         counted.update(dict(zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True)))
     assert counted == Counter(w for t in texts + texts for w in (t or "").encode().lower().split())
     assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in hmm.language_scores(make_docs(texts), 2, 1).collect()) == want
+
+
+def test_workers_keep_nothing_between_tasks(make_docs, vocab, monkeypatch):
+    """Spark uses a worker again; one that counted or encoded kept its memory beside the executor's heap while it was idle."""
+    import re
+    from pathlib import Path
+
+    from tesselon.llm.bpe import transducer
+
+    taken = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    frame = type(make_docs(["x"]))
+    ran, plain = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: ran.append(f) or plain(self, f, *a, **b))
+    assert hmm.language_scores(make_docs(corpus()[:40]), 2, 2).count() == 40
+    assert len(ran) == 5
+    for f in ran:
+        transducer(vocab)
+        assert sum(b.num_rows for b in f(iter([]))) == 0
+        assert transducer.cache_info().currsize == 0
+
+    def batches():
+        for i in range(12):
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}x{k}y{j}" for j in range(100)) for k in range(1000)], pa.string())], ["text"])
+
+    before = taken()
+    assert sum(b.num_rows for b in ran[0](batches())) == 1_200_000
+    assert taken() - before < 30
+
+
+def test_counts_come_in_parts(monkeypatch):
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i % 70}" for i in range(k, k + 50)) for k in range(40)], pa.string())], ["text"])
+    for part, flush in ((7, 300_000), (7, 20), (1000, 20)):
+        monkeypatch.setattr(hmm, "PART", part)
+        monkeypatch.setattr(hmm, "FLUSH", flush)
+        got = Counter()
+        for b in hmm._count(iter([texts, texts])):
+            assert len(b) <= part and b.column("cls").to_pylist() == [hmm.word_class(w) for w in b.column("word").to_pylist()]
+            for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
+                got[w] += c
+        assert got == Counter(w.encode() for t in texts.column("text").to_pylist() * 2 for w in t.split())
